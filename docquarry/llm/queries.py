@@ -4,18 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from docquarry.llm.exact_dedup import exact_duplicates
+from docquarry.llm.substring_dedup import remove_repeated_passages
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_passages(documents(spark, sf_dir), width=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
