@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
+from docquarry.llm.bpe import encode_decode
 from docquarry.llm.exact_dedup import exact_duplicates
+from docquarry.llm.packing import pack
 from docquarry.llm.substring_dedup import remove_repeated_passages
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -19,12 +23,29 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(documents(spark, sf_dir), TOKENIZER, end_id=1, longest=2048)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_decode(documents(spark, sf_dir), TOKENIZER)
+    return coded.select(
+        "doc_id",
+        F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op5_packing": op5_packing,
+    "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
