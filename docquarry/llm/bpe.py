@@ -19,6 +19,7 @@ bounded; they change speed only.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -26,13 +27,14 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CACHE = 400_000  # entries of each of the two caches of a worker
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-_EDGE = regex.compile(rf"\A[{WHITE}]|[{WHITE}]\Z")
+_WHITE = {c for c in map(chr, range(0x3001)) if regex.fullmatch(f"[{WHITE}]", c)}
 _NONE = np.iinfo(np.int64).max
 
 
@@ -133,13 +135,24 @@ class _Trees:
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit integers in one bytes object per text."""
+    """Ids as little-endian unsigned 32-bit integers in one bytes object per text.
 
-    def __init__(self, path: str, cache: int = CACHE):
+    ``library``: texts that no cache holds are given to a tokenizer library instead
+    of the segment trees; the ids are the same.
+    """
+
+    def __init__(self, path: str, cache: int = CACHE, library: bool = False):
         self.vocab, self.cache = Vocabulary(path), cache
+        self.library = self._library() if library else None
         self.segments: dict[str, bytes | None] = {}  # None: the segment's white space may belong to a longer run
         self.pretokens: dict[bytes, bytes] = {}
 
+    def _library(self):
+        if np.any(np.diff(self.vocab.merged) <= 0):
+            return None  # ids don't follow the merges, as that library needs them to
+        ranks = {b: i for i, b in enumerate(self.vocab.token_bytes) if i not in self.vocab.special.values()}
+        return tiktoken.Encoding("pieces", pat_str=_PRETOKEN.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
     def merge_words(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """Ids of byte strings that are one pretoken each, by size class."""
         classes: dict[int, list[bytes]] = {}
@@ -157,6 +170,8 @@ class Encoder:
 
     def _pieces(self, texts: list[str]) -> list[bytes]:
         """Ids of texts by their pretokens."""
+        if self.library:
+            return [array("I", self.library(t)).tobytes() for t in texts]
         cut = [[p.encode() for p in _PRETOKEN.findall(t)] for t in texts]
         new = set(chain.from_iterable(cut)).difference(self.pretokens)
         if len(self.pretokens) + len(new) > self.cache:
@@ -173,7 +188,7 @@ class Encoder:
         if len(self.segments) + len(new) > self.cache:
             self.segments.clear()
             new = list(set(chain.from_iterable(c[1:] for c in cut)))
-        odd = {s for s in new if not s or _EDGE.search(s)}
+        odd = {s for s in new if not s or s[0] in _WHITE or s[-1] in _WHITE}
         self.segments.update(dict.fromkeys(odd))
         regular = [s for s in new if s not in odd]
         self.segments.update(zip(regular, self._pieces([" " + s for s in regular]), strict=True))
@@ -186,7 +201,7 @@ class Encoder:
                 out.append(None)
         # A text's first segment has no blank before it; white space at its end may belong to a longer run.
         heads = [c[0] for c in cut]
-        whole = [i for i, (h, o) in enumerate(zip(heads, out, strict=True)) if o is None or len(cut[i]) > 1 and (not h or _EDGE.search(h))]
+        whole = [i for i, (h, o) in enumerate(zip(heads, out, strict=True)) if o is None or len(cut[i]) > 1 and (not h or h[-1] in _WHITE)]
         for i in whole:
             heads[i] = texts[i]
         for i, ids in enumerate(self._pieces(heads)):
@@ -207,9 +222,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, library: bool = False) -> Encoder:
     """One encoder for each worker process."""
-    return Encoder(path)
+    return Encoder(path, library=library)
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

@@ -45,7 +45,7 @@ def _cut(tokenizer: str, end_id: int, longest: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, library=True)
         for b, texts in text_chunks(batches):
             ids = [x + end for x in enc.encode(texts)]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4

@@ -28,8 +28,7 @@ def test_encoder_equals_library():
     alphabet = ["the", "tion", " ", " ", "  ", "\n", "é", "ß", ".", "'s", "12", "\t", "漢", "🙂", "zq", " ", "<|endoftext|>"]
     texts = ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(1500)]
     t, want = reference(texts)
-    enc = Encoder(PATH, cache=500)
-    for _ in range(2):  # with an empty and with a full cache
+    for enc in [Encoder(PATH, cache=500)] * 2 + [Encoder(PATH, library=True)] * 2:  # with an empty and with a full cache
         got = [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)]
         bad = [(a, g, w) for a, g, w in zip(texts, got, want, strict=True) if g != w]
         assert not bad, bad[:3]
