@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.bpe import encode_decode
 from docquarry.llm.exact_dedup import exact_duplicates
+from docquarry.llm.near_dedup import near_duplicates
 from docquarry.llm.packing import pack
 from docquarry.llm.substring_dedup import remove_repeated_passages
 
@@ -28,6 +29,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), percent=75)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_decode(documents(spark, sf_dir), TOKENIZER)
     return coded.select(
@@ -45,6 +50,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op5_packing": op5_packing,
+    "op7_near_dedup": op7_near_dedup,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
 }
