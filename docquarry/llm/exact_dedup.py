@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.llm.shared import written
+
 SPACES = r"[\x20\x09-\x0D]+"
 _NO_ID = 2**63 - 1
 
@@ -62,29 +64,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .withColumn("best", F.expr("(key + 9223372036854775808BD) div 18446744073709551616BD"))
         .withColumn("keep_id", (F.col("best").cast("decimal(10,0)") * F.expr("18446744073709551616BD") - F.col("key")).cast("long"))
     )
-    # A digest is settled if one text has it; the first text stands for it otherwise and the others override below.
+    # A digest is settled if one text has it.
     by_digest = classes.groupBy("sha").agg(
         F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")
     )
-    light = rows.select("doc_id", "sha")
-    settled = light.join(by_digest.filter("texts = 1"), "sha").select("doc_id", "keep_id", "group_size", "sha")
-    return _result(settled.unionByName(_collided(rows, classes, by_digest)))
-
-
-def _collided(rows: DataFrame, classes: DataFrame, by_digest: DataFrame) -> DataFrame:
-    """Rows whose digest stands for several texts, matched on the text itself.
-
-    ``shared`` holds SHA-256 collisions, so it is empty for all practical inputs;
-    the broadcast lets the adaptive planner see that and drop this whole branch
-    before any text is shuffled for it.
-    """
+    by_digest = written(by_digest, "digests")
+    found = rows.select("doc_id", "sha").join(by_digest.filter("texts = 1"), "sha").select("doc_id", "keep_id", "group_size", "sha")
     shared = by_digest.filter("texts > 1").select("sha")
-    return (
-        rows.join(F.broadcast(shared), "sha", "left_semi")
-        .select("doc_id", "sha", "norm")
-        .join(classes.select("sha", "norm", "keep_id", "group_size"), ["sha", "norm"])
-        .select("doc_id", "keep_id", "group_size", "sha")
-    )
+    if not shared.isEmpty():  # different texts with one SHA-256 digest: match those rows on the text itself
+        collided = rows.join(shared, "sha", "left_semi").select("doc_id", "sha", "norm")
+        found = found.unionByName(collided.join(classes.select("sha", "norm", "keep_id", "group_size"), ["sha", "norm"]).drop("norm"))
+    return _result(found)
 
 
 def _result(found: DataFrame) -> DataFrame:
