@@ -10,6 +10,7 @@ from docquarry.llm.bpe import encode_decode
 from docquarry.llm.exact_dedup import exact_duplicates
 from docquarry.llm.near_dedup import near_duplicates
 from docquarry.llm.packing import pack
+from docquarry.llm.secrets import BASE, find_secrets
 from docquarry.llm.substring_dedup import remove_repeated_passages
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +30,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(documents(spark, sf_dir))
+    kinds = ", ".join(f"'{k}'" for k in BASE)
+    said = "array_join(transform({}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
+    return found.select(
+        "doc_id",
+        *[F.expr(f"CAST(size(filter(spans, s -> s.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in BASE],
+        F.sha2(F.expr(said.format(f"filter(spans, s -> s.kind IN ({kinds}))")), 256).alias("base_sha256"),
+        F.expr(said.format("spans")).alias("spans"),
+    )
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), percent=75)
 
@@ -50,6 +63,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op5_packing": op5_packing,
+    "op6_secrets": op6_secrets,
     "op7_near_dedup": op7_near_dedup,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,

@@ -66,12 +66,12 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(U).view(np.int64)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text."""
     for b in batches:
         if not b.num_rows:
             continue
-        sizes = np.cumsum([len(x) if x is not None else 0 for x in b.column("text").cast(pa.binary()).to_pylist()])
+        sizes = np.cumsum([len(x) if x is not None else 0 for x in b.column(column).cast(pa.binary()).to_pylist()])
         at = 0
         while at < b.num_rows:
             to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
