@@ -12,6 +12,7 @@ from docquarry.llm.near_dedup import near_duplicates
 from docquarry.llm.packing import pack
 from docquarry.llm.secrets import BASE, find_secrets
 from docquarry.llm.substring_dedup import remove_repeated_passages
+from docquarry.llm.toxicity import fit, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -25,6 +26,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fit_rows=20_000)
+    return toxicity(docs, model, threshold=0.7)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(documents(spark, sf_dir), TOKENIZER, end_id=1, longest=2048)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -62,6 +69,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_secrets": op6_secrets,
     "op7_near_dedup": op7_near_dedup,
