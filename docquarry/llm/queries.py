@@ -10,10 +10,12 @@ from docquarry.llm.bpe import encode_decode
 from docquarry.llm.exact_dedup import exact_duplicates
 from docquarry.llm.near_dedup import near_duplicates
 from docquarry.llm.packing import pack
+from docquarry.llm.pii import KINDS, pseudonymise
 from docquarry.llm.secrets import BASE, find_secrets
 from docquarry.llm.substring_dedup import remove_repeated_passages
 from docquarry.llm.toxicity import fit, toxicity
 
+PSEUDONYM_KEY = "change me: whoever holds this key can undo the pseudonyms"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -26,6 +28,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonymise(documents(spark, sf_dir), key=PSEUDONYM_KEY)
+    counts = [F.expr(f"CAST(size(filter(findings, x -> x.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fit_rows=20_000)
@@ -69,6 +77,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_pii": op2_pii,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_secrets": op6_secrets,
