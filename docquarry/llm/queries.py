@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.llm.ann import nearest
 from docquarry.llm.bpe import encode_decode
 from docquarry.llm.exact_dedup import exact_duplicates
 from docquarry.llm.near_dedup import near_duplicates
@@ -75,6 +76,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20, rerank=300)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_pii": op2_pii,
@@ -84,9 +90,22 @@ QUERIES = {
     "op7_near_dedup": op7_near_dedup,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_ann": op10_ann,
 }
 
 ORACLE_SQL = {
+    "op10_ann": r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(embedding, x -> x <> 0))),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         list_reduce(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * c.e[i]), (a, b) -> a + b) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+""",
     "op9_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
