@@ -19,9 +19,10 @@ the components found, every member outside the node's main component against
 every member of another component, in blocks.  Small nodes take the same two
 steps, so a pair is left untried only if it is already connected.
 
-Candidates need a minwise estimate within about five deviations of the threshold
-and are confirmed on the full sets of the whole texts.  Only confirmed links form
-components.
+Pairs of the first step need a minwise estimate within about five deviations of the
+threshold and are confirmed on the full sets of the whole texts; the second step
+compares full sets at once and returns one link for each component a member meets.
+Only confirmed links form components.
 
 Scale: the paths are long integers dealt by node name; counts per node combine on
 the map side; no task gathers more than a chunk of a node.  Texts travel once,
@@ -133,15 +134,14 @@ def _nodes(classes: DataFrame, trees: int) -> DataFrame:
     return ended
 
 
-def _estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return (x[:, None, :] == y[None, :, :]).sum(2, dtype=np.int16)
+def _distinct_nodes(nodes: DataFrame) -> DataFrame:
+    """One of the nodes that hold the same classes."""
+    sums = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2"))
+    return nodes.join(sums.groupBy("n", "h1", "h2").agg(F.min("node").alias("node")).select("node"), "node", "left_semi")
 
 
-def _lists(column: pa.Array):
-    """Python-free access to list<struct<id, n, tokens...>>: offsets and the struct's fields."""
-    offsets = column.offsets.to_numpy()
-    values = column.values
-    return offsets, values
+def _estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x[:, None, :] == y[None, :, :]).sum(2, dtype=np.int16)
 
 
 def _tokens_of(field: pa.Array) -> np.ndarray:
@@ -186,25 +186,32 @@ def _connect(least: int, similarity: float):
     return run
 
 
-def _across(least: int, similarity: float):
-    """Within each block: its members against the node's strays, where their components differ."""
+def _across(percent: int):
+    """Within each block: its members against strays whose components differ, on the full sets; a link for each component met."""
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             a_out, b_out = [], []
-            cols = []
-            for name in ("members", "strays"):
-                c = b.column(name)
-                cols.append((c.offsets.to_numpy(), c.values.field(0).to_numpy(), c.values.field(1).to_numpy(), _tokens_of(c.values.field(2)), c.values.field(3).to_numpy()))
-            (mo, mi, mn, mt, ml), (so, si, sn, st, sl) = cols
             for r in range(b.num_rows):
-                m, s = slice(mo[r], mo[r + 1]), slice(so[r], so[r + 1])
-                if mo[r] == mo[r + 1] or so[r] == so[r + 1]:
-                    continue
-                ok = (_estimate(st[s], mt[m]) >= least) & (sl[s][:, None] != ml[m]) & (np.minimum(sn[s][:, None], mn[m]) >= similarity * np.maximum(sn[s][:, None], mn[m]))
-                x, y = np.nonzero(ok)
-                a_out.extend(si[s][x])
-                b_out.extend(mi[m][y])
+                (mid, mlabel, mtexts), (sid, slabel, stexts) = ((c.field(0).to_numpy(), c.field(1).to_numpy(), c.field(2).to_pylist()) for c in (b.column(x)[r].values for x in ("members", "strays")))
+                keys, n = shingle_sets([unpack(t) for t in mtexts])
+                shingle = keys & U(2**48 - 1)
+                order = np.argsort(shingle)
+                shingle, owner = shingle[order], (keys >> U(48)).astype(np.int64)[order]
+                asked, asked_n = shingle_sets([unpack(t) for t in stexts])
+                ends = np.cumsum(asked_n)
+                for i in range(len(sid)):
+                    own = asked[ends[i] - asked_n[i] : ends[i]] & U(2**48 - 1)
+                    lo, hi = np.searchsorted(shingle, own, "left"), np.searchsorted(shingle, own, "right")
+                    edge = np.zeros(len(shingle) + 1, np.int32)
+                    np.add.at(edge, lo, 1)
+                    np.add.at(edge, hi, -1)
+                    common = np.bincount(owner[np.cumsum(edge[:-1]) > 0], minlength=len(mid))
+                    ok = np.flatnonzero((100 * common >= percent * (asked_n[i] + n - common)) & (mlabel != slabel[i]))
+                    one = ok[np.unique(mlabel[ok], return_index=True)[1]]
+                    a_out.extend([sid[i]] * len(one))
+                    b_out.extend(mid[one])
             yield _pairs_batch(a_out, b_out)
 
     return run
@@ -234,7 +241,7 @@ def _confirmed(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     at = lambda c: packed.select(F.col("id").alias(c), F.col("packed").alias(f"packed_{c}"))
     both = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "packed_a", "packed_b")
-    return written(both.mapInArrow(_confirm(percent), "a long, b long"), "links")
+    return written(both.mapInArrow(_confirm(percent), "a long, b long"), "links", arrow_rows=2000)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, recall: float = 0.9999) -> DataFrame:
@@ -248,7 +255,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = member.filter("n > 0 AND id = doc_id").select("doc_id").distinct()
     classes = written(sets.join(firsts, "doc_id").select(F.col("doc_id").alias("id"), "n", "tokens").dropDuplicates(["id"]), "classes")
 
-    nodes = written(_nodes(classes, trees_for(similarity, recall)), "leaves")
+    nodes = written(_distinct_nodes(_nodes(classes, trees_for(similarity, recall))), "leaves")
     candidate = nodes.select("id").distinct()
     packed = written(rows.mapInArrow(_compress, "id long, packed binary").join(candidate, "id").dropDuplicates(["id"]), "texts")
 
@@ -256,12 +263,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chunk = F.pmod(F.xxhash64("node", "id"), F.ceil(F.col("size") / LEAF)).cast("int")
     chunks = described.groupBy("node", chunk.alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("id", "n", "tokens"))).alias("members"))
     chunks = chunks.select("members").dropDuplicates()
-    first = written(chunks.mapInArrow(_connect(least, similarity), "a long, b long").distinct(), "pairs")
+    first = written(chunks.mapInArrow(_connect(least, similarity), "a long, b long").distinct(), "pairs", arrow_rows=500)
     links = _confirmed(first, packed, percent)
     labels = written(components(links), "labels")
 
-    second = written(_cross_pairs(nodes, classes, labels, least, similarity).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = _confirmed(second, packed, percent)
+    more = written(_cross_links(nodes, packed, labels, percent), "links", arrow_rows=16)
     if not more.isEmpty():
         labels = written(components(links.unionByName(more)), "labels")
 
@@ -270,14 +276,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(shown("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), shown("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def _cross_pairs(nodes: DataFrame, classes: DataFrame, labels: DataFrame, least: int, similarity: float) -> DataFrame:
-    """Pairs of a node whose components still differ: strays (outside its main component) against all, in blocks."""
+def _cross_links(nodes: DataFrame, packed: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links of a node whose components still differ: strays (outside its main component) against all, in blocks."""
     labelled = nodes.join(labels, "id", "left").select("node", "size", "id", F.coalesce("label", "id").alias("label"))
     parts = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("node").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).getField("label").alias("main")).filter("labels > 1")
-    members = labelled.join(mixed.select("node", "main"), "node").join(classes, "id")
+    members = labelled.join(mixed.select("node", "main"), "node").join(packed, "id")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    item = F.struct("id", "n", "tokens", "label").alias("item")
+    item = F.struct("id", "label", "packed").alias("item")
     block = F.pmod(F.xxhash64("node", "id"), blocks).cast("int").alias("block")
     strays = members.filter("label <> main")
     # Strays are dealt too, so that no task gathers all of a node's strays.
@@ -285,4 +291,4 @@ def _cross_pairs(nodes: DataFrame, classes: DataFrame, labels: DataFrame, least:
     asked = dealt.groupBy("node", "block", "deal").agg(F.collect_list("item").alias("strays"))
     held = members.select("node", block, item).groupBy("node", "block").agg(F.collect_list("item").alias("members"))
     joined = asked.join(held, ["node", "block"]).select("members", "strays")
-    return joined.mapInArrow(_across(least, similarity), "a long, b long").distinct()
+    return joined.mapInArrow(_across(percent), "a long, b long").distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.ann import nearest
 from docquarry.llm.bpe import encode_decode
 from docquarry.llm.exact_dedup import exact_duplicates
+from docquarry.llm.lm import score_texts
 from docquarry.llm.near_dedup import near_duplicates
 from docquarry.llm.packing import pack
 from docquarry.llm.pii import KINDS, pseudonymise
@@ -35,6 +36,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text")
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir), TOKENIZER, held_out_fold=0, folds=10)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fit_rows=20_000)
@@ -84,6 +89,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_pii": op2_pii,
+    "op3_lm": op3_lm,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_secrets": op6_secrets,

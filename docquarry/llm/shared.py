@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,9 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet and read again: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
+    """``df`` written once as Parquet and read again: cuts the lineage and survives lost executors.
+
+    ``arrow_rows`` bounds the rows of an Arrow batch while it runs, for rows that hold whole groups.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docquarry/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_ARROW_ROWS)
+    if arrow_rows:
+        spark.conf.set(_ARROW_ROWS, str(arrow_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
