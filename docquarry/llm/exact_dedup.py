@@ -89,6 +89,8 @@ def _result(found: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_duplicates(docs, id_col, text_col, salts).filter("kept").select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi")
+    """The rows of ``docs`` that stay, with all their columns; rows that repeat id and text become one."""
+    kept = exact_duplicates(docs, id_col, text_col, salts).filter("kept")
+    kept = kept.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("__id"), F.col("text_sha256").alias("__sha"))
+    keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "__sha": F.sha2(normalised(F.col(text_col).cast("string")), 256)})
+    return keyed.join(kept, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"]).drop("__id", "__sha")
