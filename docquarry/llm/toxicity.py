@@ -47,6 +47,7 @@ STEMS = (4, 5, 6, 7)
 WINDOW = 6
 CACHE = 400_000
 MOST_TERMS = 4000
+FUZZY_SHARE = 0.01  # of the toxic rows must hold a term for its misspellings to count
 MOST_NEIGHBOURS = 5  # a term with more ordinary words one edit away is matched exactly only
 REPORTING = frozenset(
     "said says say saying called calls call quoted quotes quote quoting wrote writes word words term terms insult insults slur slurs phrase defined definition "
@@ -65,6 +66,7 @@ class Trie:
 
     next: list[dict[str, int]] = field(default_factory=lambda: [{}])
     word: list[float] = field(default_factory=lambda: [0.0])
+    text: list[str] = field(default_factory=lambda: [""])
     stem: list[float] = field(default_factory=lambda: [0.0])
 
     def add(self, term: str, weight: float, stem: bool) -> None:
@@ -74,6 +76,7 @@ class Trie:
                 self.next[node][c] = len(self.next)
                 self.next.append({})
                 self.word.append(0.0)
+                self.text.append(self.text[node] + c)
                 self.stem.append(0.0)
             node = self.next[node][c]
         to = self.stem if stem else self.word
@@ -107,18 +110,25 @@ class Lexicon:
         return max(best, self.trie.word[node])
 
     def misspelled(self, word: str) -> float:
-        """Largest weight of a term within one edit: the word's automaton walked over the trie."""
+        """Largest weight of a term within one edit."""
+        return max((self.fuzzy.word[n] for n in self.within_one_edit(word)), default=0.0)
+
+    def neighbours(self, word: str) -> list[str]:
+        return [self.fuzzy.text[n] for n in self.within_one_edit(word)]
+
+    def within_one_edit(self, word: str) -> list[int]:
+        """Trie nodes of the terms within one edit: the word's automaton walked over the trie."""
         if len(word) < self.least - 1 or not (word[:2] in self.heads or word[-2:] in self.tails):
-            return 0.0
+            return []
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
-        done, best, trie = 1 << len(word), 0.0, self.fuzzy
+        done, trie, found = 1 << len(word), self.fuzzy, []
         open_ = [(0, 1, 3)]  # node, positions without an error, positions with at most one
         while open_:
             node, none, one = open_.pop()
-            if one & done:
-                best = max(best, trie.word[node])
+            if one & done and trie.word[node]:
+                found.append(node)
             for c, child in trie.next[node].items():
                 m = masks.get(c, 0)
                 moved = (none & m) << 1
@@ -127,7 +137,7 @@ class Lexicon:
                 with_one &= 2 * done - 1
                 if with_one:
                     open_.append((child, moved, with_one))
-        return best
+        return found
 
     def look(self, raw: str) -> tuple[float, bool] | None:
         """(weight, misspelled) of a token as it stands in a text, or None."""
@@ -190,10 +200,11 @@ def count_terms(texts: list[str], toxic: list[int]) -> dict[str, list[int]]:
 
 
 def choose_terms(counts: list[tuple[str, int, int]], clean: int, toxic: int) -> list[tuple[str, bool, float]]:
-    """Terms with strong evidence; a stem only where it says more than the words and longer stems it covers."""
+    """Terms with strong evidence; a stem only where it says more than the words and longer stems it covers, and then it stands for them."""
     weight = {t: math.log((b + 0.5) / (toxic + 1)) - math.log((a + 0.5) / (clean + 1)) for t, a, b in counts}
     held = {t: b for t, _, b in counts}
-    strong = sorted((t for t in weight if weight[t] >= 2.5), key=lambda t: (len(t), t))
+    sure = {t: weight[t] - 2 * math.sqrt(1 / (b + 0.5) + 1 / (a + 0.5)) for t, a, b in counts}
+    strong = sorted((t for t in weight if weight[t] >= 3.5 and sure[t] >= 1.0), key=lambda t: (len(t), t))
     words = {t for t in strong if t[0] != "^"}
     most_word: dict[str, int] = {}  # by stem, documents of its commonest word
     most_stem: dict[str, int] = {}
@@ -206,7 +217,8 @@ def choose_terms(counts: list[tuple[str, int, int]], clean: int, toxic: int) ->
                 if n < len(t) - 1:
                     most_stem[t[: n + 1]] = max(most_stem.get(t[: n + 1], 0), held[t])
     stems = [t for t in strong if t[0] == "^" and held[t] >= 1.3 * most_word.get(t, 0) and held[t] >= 1.05 * most_stem.get(t, 0) and held[t] >= 8]
-    chosen = [(t, False) for t in words] + [(t[1:], True) for t in stems]
+    roots = {t[1:] for t in stems}
+    chosen = [(t, False) for t in words if not any(t[:n] in roots for n in STEMS)] + [(t, True) for t in sorted(roots) if not any(t[:n] in roots for n in STEMS if n < len(t))]
     ranked = sorted(chosen, key=lambda x: (-held["^" + x[0] if x[1] else x[0]], x))[:MOST_TERMS]
     return [(t, s, min(weight["^" + t if s else t], 8.0)) for t, s in ranked]
 
@@ -286,10 +298,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, held_out_fol
     if not clean or not toxic:
         return Model([], None)
     terms = choose_terms([k for k in kept if k[0]], clean, toxic)
+    held = {t: b for t, _, b in kept}
+    rare = frozenset(t for t, stem, w in terms if not stem and (w < 4 or held[t] < max(8, FUZZY_SHARE * toxic)))
 
     # Ordinary words one edit away from a term: learnt from one half of the sample, so that the other half measures what is left.
     def near(batches):
-        lexicon = Lexicon(terms)
+        lexicon = Lexicon(terms, rigid=rare)
         for b in batches:
             found = set().union(*map(lexicon.near_misses, b.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["word"])
@@ -297,7 +311,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, held_out_fol
     half = F.pmod(F.xxhash64("text"), F.lit(2))
     harmless = frozenset(r.word for r in rows.filter(half == 0).filter("y = 0").select("text").mapInArrow(near, "word string").distinct().collect())
 
-    rigid = frozenset(t for t, stem, _ in terms if not stem and sum(Lexicon([(t, False, 1.0)]).misspelled(w) > 0 for w in harmless) > MOST_NEIGHBOURS)
+    lexicon = Lexicon(terms, rigid=rare)
+    met = Counter(t for w in harmless for t in lexicon.neighbours(w))
+    rigid = rare | {t for t, n in met.items() if n > MOST_NEIGHBOURS}
 
     def features(batches):
         lexicon = Lexicon(terms, harmless, rigid=rigid)
