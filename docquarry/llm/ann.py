@@ -11,13 +11,12 @@ of ``fit_rows`` vectors; every vector is encoded.
 Search: equal vectors share one code (their ids stay, as many as a result can
 show).  Codes and queries are dealt into blocks; every block of queries meets
 every block of codes once, a query's table of 16 entries per group is cut to
-unsigned bytes and summed over the codes, and each cell returns the best
-``rerank`` per query.  The best ``rerank`` of all cells are joined with the
-original vectors and scored exactly in double precision.
+unsigned bytes and summed over the codes, and the best ``rerank`` so far are kept
+per query.  They are joined with the original vectors and scored exactly in
+double precision.
 
 Scale: the pass over the codes is queries x rows at four bits per group, by
-design; blocks bound every task's memory, and the per-query limits are applied
-before rows are shuffled.  Nothing is broadcast but the codebooks.
+design; blocks bound every task's memory, and ``rerank`` rows per query leave it.  Nothing is broadcast but the codebooks.
 
 Defined results: vectors that are null, zero, of another length than most, or hold
 null or non-finite components take no part; ids that are null take no part; rows
@@ -37,7 +36,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.shared import written
 
 CENTROIDS = 16
-CODE_BLOCK, QUERY_BLOCK = 8192, 1024
+CODE_BLOCK, QUERY_BLOCK = 4096, 256
 
 
 class Quantiser:
@@ -130,6 +129,25 @@ def scan(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Best:
+    """The ``keep`` codes with the largest sums for each query of a block, over all codes met so far."""
+
+    def __init__(self, q: Quantiser, ids: np.ndarray, vectors: np.ndarray, keep: int):
+        self.ids, self.keep, self.tables = ids, keep, byte_tables(q, vectors)[0]
+        self.sums, self.found = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0), np.int64)
+
+    def meet(self, ids: np.ndarray, codes: np.ndarray) -> None:
+        for s in range(0, len(codes), CODE_BLOCK):
+            sums = np.concatenate([self.sums, scan(self.tables, codes[s : s + CODE_BLOCK])], 1)
+            found = np.concatenate([self.found, np.broadcast_to(ids[s : s + CODE_BLOCK], (len(self.ids), len(ids[s : s + CODE_BLOCK])))], 1)
+            m = min(self.keep, sums.shape[1])
+            best = np.argpartition(sums, sums.shape[1] - m, axis=1)[:, sums.shape[1] - m :]
+            self.sums, self.found = np.take_along_axis(sums, best, 1), np.take_along_axis(found, best, 1)
+
+    def rows(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, self.found.shape[1])), pa.array(self.found.ravel())], ["query_id", "id"])
+
+
 def _floats(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1)
 
@@ -171,34 +189,33 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, r
     codes = index.select("id", "v").mapInArrow(encode, "id long, code binary").withColumn("cb", dealt(code_blocks))
     code_rows = codes.groupBy("cb").agg(F.collect_list(F.struct("id", "code")).alias("codes"))
     query_rows = asked.withColumn("qb", dealt(query_blocks)).groupBy("qb").agg(F.collect_list(F.struct("id", "v")).alias("queries"))
-    cells = (
+    # A block of queries, then every block of codes: one pass that keeps each query's best so far.
+    met = (
         code_rows.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-        .repartition("qb", "cb")
-        .join(query_rows.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(code_blocks - 1)))), ["qb", "cb"])
-        .select("codes", "queries")
+        .unionByName(query_rows.withColumn("cb", F.lit(-1)), allowMissingColumns=True)
+        .repartition("qb")
+        .sortWithinPartitions("qb", "cb")
+        .select("queries", "codes")
     )
 
     def search(batches):
+        asking = None
         for b in batches:
             for r in range(b.num_rows):
-                held, ask = b.column("codes")[r].values, b.column("queries")[r].values
-                ids = held.field(0).to_numpy()
-                code = np.frombuffer(b"".join(held.field(1).to_pylist()), np.uint8).reshape(len(ids), -1)
-                order = np.argsort(ids)
-                ids, code = ids[order], code[order]
-                asking, v = ask.field(0).to_numpy(), _floats(ask.field(1))
-                for s in range(0, len(asking), 128):
-                    tables, step = byte_tables(q, v[s : s + 128])
-                    base = np.einsum("ngw,gcw->ngc", q.split(v[s : s + 128]), q.books).min(2).sum(1)
-                    found = scan(tables, code)
-                    m = min(rerank, len(ids))
-                    best = np.argpartition(found, len(ids) - m, axis=1)[:, len(ids) - m :]
-                    score = np.take_along_axis(found, best, 1) * step[:, None] + base[:, None]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asking[s : s + 128], m)), pa.array(ids[best].ravel()), pa.array(score.ravel())], ["query_id", "id", "near"])
-
-    found = cells.mapInArrow(search, "query_id long, id long, near double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("near"), "id")
-    best = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rerank).select("query_id", "id")
+                ask, held = b.column("queries")[r], b.column("codes")[r]
+                if ask.is_valid:
+                    if asking is not None:
+                        yield asking.rows()
+                    asking = _Best(q, ask.values.field(0).to_numpy(), _floats(ask.values.field(1)), rerank)
+                elif asking is not None:
+                    ids = held.values.field(0).to_numpy()
+                    code = np.frombuffer(b"".join(held.values.field(1).to_pylist()), np.uint8).reshape(len(ids), -1)
+                    order = np.argsort(ids)
+                    asking.meet(ids[order], code[order])
+        if asking is not None:
+            yield asking.rows()
+
+    best = written(met.mapInArrow(search, "query_id long, id long"), "near", arrow_rows=4)
     exact = F.expr("aggregate(zip_with(qv, v, (a, b) -> CAST(a AS DOUBLE) * CAST(b AS DOUBLE)), CAST(0 AS DOUBLE), (s, x) -> s + x)")
     scored = (
         best.join(index, "id")
