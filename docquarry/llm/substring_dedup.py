@@ -58,7 +58,7 @@ def _blocks(words: np.ndarray, offsets: np.ndarray, width: int):
     new = np.ones(len(window), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(window)) - 1
+    last = np.append(first, len(window))[1:] - 1
     return anchor[first], window[first] if len(first) else first, window[last] if len(first) else last, owner[first]
 
 
