@@ -277,8 +277,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _cross_links(nodes: DataFrame, packed: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Links of a node whose components still differ: strays (outside its main component) against all, in blocks."""
-    labelled = nodes.join(labels, "id", "left").select("node", "size", "id", F.coalesce("label", "id").alias("label"))
+    """Links of a node whose components still differ: strays (outside its main component) against all, in blocks.
+
+    A node of two has had its only pair tried in the first step.
+    """
+    labelled = nodes.filter("size > 2").join(labels, "id", "left").select("node", "size", "id", F.coalesce("label", "id").alias("label"))
     parts = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("node").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).getField("label").alias("main")).filter("labels > 1")
     members = labelled.join(mixed.select("node", "main"), "node").join(packed, "id")
