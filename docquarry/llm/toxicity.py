@@ -1,7 +1,7 @@
 """Toxicity scores from a learnt lexicon, Levenshtein automata and context windows.
 
 Fitting, on at most ``fit_rows`` labelled rows (a documented bound; the rows are
-the first by a hash of the id):
+the first by a hash of the id; of near copies among them one):
 
 1. terms: words, and word beginnings of ``STEMS`` characters, whose documents are
    labelled toxic far more often than others;
@@ -40,8 +40,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.llm.shared import written
 from docquarry.llm.substring_dedup import _pieces
-from docquarry.llm.words import as_bytes
+from docquarry.llm.words import as_bytes, hash_words, window_hashes
 
 STEMS = (4, 5, 6, 7)
 WINDOW = 6
@@ -269,6 +270,18 @@ def fold(doc_id: Column, parts: int = 3) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts))
 
 
+def _mark(batches):
+    """The smallest hash of three words in a row: near copies mostly share it, other texts don't."""
+    for b in _pieces(batches):
+        words, offsets = hash_words(as_bytes(b.column("text")), lower=True)
+        least = np.zeros(b.num_rows, np.uint64)
+        for i, (s, e) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+            own = words[s:e]
+            windows = window_hashes(own, 3)
+            least[i] = windows.min() if len(windows) else own.sum(dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(least.view(np.int64))], ["id", "y", "mark"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, held_out_fold: int = 1, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from labelled rows outside the held-out fold, ``fit_rows`` of them at most."""
     key = F.col(id_col).cast("long")
@@ -281,6 +294,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, held_out_fol
         .limit(fit_rows)
     )
     texts = docs.select(key.alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # Of copies and near copies in the sample one speaks, or a copied text's rare words would look like evidence.
+    marked = texts.join(F.broadcast(sample), "id").mapInArrow(_mark, "id long, y int, mark long")
+    sample = marked.groupBy("mark", "y").agg(F.min("id").alias("id")).select("id", "y")
+    sample = written(sample, "toxicity-sample")
     rows = texts.join(F.broadcast(sample), "id").select("text", F.when(F.col("y") > 0, 1).otherwise(0).alias("y"))
 
     def count(batches):
