@@ -10,9 +10,10 @@ on a token with probability s, so a pair at the threshold survives a tree with a
 probability that ``trees_for`` derives from the branching process; independent
 trees are repeated until the target recall is met.  Nodes with one class vanish,
 nodes of at most ``LEAF`` classes are compared exhaustively, larger ones branch
-again, down to ``DEPTH``.
+again, down to ``DEPTH``.  A node whose classes mostly agree on a further token ends
+where it is: it is a family of similar texts that branching would copy, not split.
 
-Nodes that are still larger there hold families of very similar texts.  They are
+Nodes that end larger than a leaf hold families of very similar texts.  They are
 compared exhaustively too, in two steps that avoid all pairs: first within dealt
 chunks, where the strongest pairs that connect the chunk are tried; then, given
 the components found, every member outside the node's main component against
@@ -50,6 +51,7 @@ from docquarry.llm.substring_dedup import _pieces
 from docquarry.llm.words import U, as_bytes, hash_words, mix, span_hashes, window_hashes
 
 SHINGLE, TOKENS, BRANCH, DEPTH, LEAF, BLOCK = 5, 64, 2, 4, 64, 256
+DENSE = 0.6  # of a node's classes agree on one more token: they are alike, and branching would only copy them
 _NO_ID = 2**63 - 1
 _rng = np.random.Generator(np.random.PCG64(77))
 _MULTIPLIER = _rng.integers(0, 2**63, TOKENS, dtype=np.int64).astype(U) * U(2) + U(1)
@@ -126,11 +128,17 @@ def _nodes(classes: DataFrame, trees: int) -> DataFrame:
         sizes = child.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         level = written(child.join(sizes, "node"), "nodes")
         done = level if depth == DEPTH else level.filter(F.col("size") <= LEAF)
+        done = done.select("node", "id", "size")
         ended = done if ended is None else ended.unionByName(done)
         large = level.filter(F.col("size") > LEAF)
         if depth == DEPTH or large.isEmpty():
             break
-        open_ = large.join(classes.select("id", "tokens"), "id").select("node", "id", "tokens")
+        held = written(large.join(classes.select("id", "tokens"), "id").select("node", "id", "size", "tokens"), "open")
+        token = F.get("tokens", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(TOKENS)).cast("int"))
+        most = held.groupBy("node", "size", token.alias("token")).agg(F.count(F.lit(1)).alias("n")).groupBy("node", "size").agg(F.max("n").alias("most"))
+        dense = written(most.filter(F.col("most") >= DENSE * F.col("size")).select("node"), "dense")
+        ended = ended.unionByName(held.join(dense, "node", "left_semi").select("node", "id", "size"))
+        open_ = held.join(dense, "node", "left_anti").select("node", "id", "tokens")
     return ended
 
 
