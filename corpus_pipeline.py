@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm.exact_dedup import drop_exact_duplicates
-from docquarry.llm.near_dedup import near_duplicates
+from docquarry.llm.near_dedup import drop_near_duplicates
 from docquarry.llm.packing import pack
 from docquarry.llm.secrets import redact_secrets
 from docquarry.llm.shared import written
@@ -34,8 +34,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_duplicates(docs, percent=75).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return drop_near_duplicates(docs, percent=75).select(*COLUMNS)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

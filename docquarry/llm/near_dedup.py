@@ -31,8 +31,9 @@ compressed, and only those of classes that share a node are kept.
 
 Defined results: null or empty texts have an empty set, link with nothing and are
 kept; one to four words are one shingle; rows that repeat an id count as one
-document and each get a row; a null id counts as the largest and is shown as null;
-other columns are not read; an empty table gives no rows.
+document and each get a row; rows with a null id are documents by their text, count
+as larger than every id and are shown as null (inside, their ids are hashes above the
+largest id, so the room above it bounds how many can be told apart); other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -252,11 +253,36 @@ def _confirmed(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
     return written(both.mapInArrow(_confirm(percent), "a long, b long"), "links", arrow_rows=2000)
 
 
+def _keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, int]:
+    """Ids in which every text without one has its own, and the largest id given."""
+    last = docs.agg(F.max(F.col(id_col).cast("long"))).first()[0]
+    last = -1 if last is None else last
+    room = F.pmod(F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit(max(1, min(_NO_ID, _NO_ID - last))))
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(min(last + 1, _NO_ID)) + room), last
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, recall: float = 0.9999) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
+    key, last = _keys(docs, id_col, text_col)
+    found = _found(docs, key, text_col, percent, recall)
+    shown = lambda c: F.when(F.col(c) <= last, F.col(c))
+    return found.select(shown("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), shown("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, recall: float = 0.9999) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; of rows without an id and with one text, one stays."""
+    key, last = _keys(docs, id_col, text_col)
+    kept = _found(docs, key, text_col, percent, recall).filter("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()
+    rows = docs.withColumn("__key", key).join(kept, "__key", "left_semi")
+    nameless = rows.filter(F.col(id_col).isNull()).dropDuplicates(["__key"])
+    return rows.filter(F.col(id_col).isNotNull()).unionByName(nameless).drop("__key")
+
+
+def _found(docs: DataFrame, key: Column, text_col: str, percent: int, recall: float) -> DataFrame:
+    """doc_id, n, component_id by ``key``, for every row."""
     similarity = percent / 100
     least = math.floor(TOKENS * similarity - 4.7 * math.sqrt(TOKENS * similarity * (1 - similarity)))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(key.alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sets = written(rows.mapInArrow(_describe, "doc_id long, n long, h1 long, h2 long, tokens array<int>"), "sets")
     equal = sets.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"))
     member = written(sets.select("doc_id", "n", "h1", "h2").join(equal, ["n", "h1", "h2"], "left").select("doc_id", "n", F.coalesce("id", "doc_id").alias("id")), "members")
@@ -279,9 +305,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         labels = written(components(links.unionByName(more)), "labels")
 
-    found = member.join(labels, "id", "left").select("doc_id", "n", F.coalesce("label", "id").alias("component_id"))
-    shown = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
-    return found.select(shown("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), shown("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return member.join(labels, "id", "left").select("doc_id", "n", F.coalesce("label", "id").alias("component_id"))
 
 
 def _cross_links(nodes: DataFrame, packed: DataFrame, labels: DataFrame, percent: int) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 
 import corpus_pipeline
 from docquarry.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
+from docquarry.llm.near_dedup import near_duplicates
 
 
 def plain(t):
@@ -56,3 +57,19 @@ def test_stages(spark, tmp_path):
     assert "f0f0" not in seen["secrets"][1003].text and seen["secrets"][1003].n_chars == len(seen["secrets"][1003].text)
     assert set(seen["packing"]) == set(seen["secrets"]) == set(seen["near_dedup"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == at.count()
+
+
+def test_null_ids_in_near_dedup(spark, tmp_path):
+    """Documents without an id are told apart by their texts: clean ones stay, near copies go."""
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{rng.randrange(900)}" for _ in range(60))
+    a, b, c, d = (text() for _ in range(4))
+    near = lambda t: t.rsplit(" ", 1)[0] + " zz"
+    rows = [(1, a), (None, near(a)), (None, b), (None, near(b)), (None, c), (None, c), (None, None), (2, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup_stage(spark, docs, str(tmp_path)).collect()]
+    assert {(1, a), (2, d), (None, c), (None, None)} <= set(kept) and len(kept) == 5
+    assert sum(t in (b, near(b)) for _, t in kept) == 1
+    found = near_duplicates(docs).collect()
+    assert len(found) == len(rows) and sum(r.doc_id is None for r in found) == 6
+    assert [r.component_id for r in found if r.doc_id is None and r.n_shingles and r.component_id == 1] == [1]
