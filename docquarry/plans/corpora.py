@@ -26,7 +26,7 @@ UNION ALL SELECT -3, 'http://localhost:3000'
 _FENCE = "chr(96) || chr(96) || chr(96)"
 MARKDOWN = f"""
 SELECT doc_id, source,
-  '# ' || source || ' Guide' || chr(10) || substr(coalesce(text, ''), 1, 300) || chr(10)
+  '# ' || source || ' Guide' || chr(10) || coalesce(text, '') || chr(10)
   || CASE WHEN doc_id % 3 = 0 THEN '## API Reference' || chr(10) || '- GET /api/items is an endpoint that needs an access token' || chr(10) || {_FENCE} || 'bash' || chr(10)
        || 'curl -X POST https://api.' || source || '.io/v1/items' || chr(10) || {_FENCE} || chr(10) ELSE '' END
   || CASE WHEN doc_id % 4 = 1 THEN '## Quick Start' || chr(10) || {_FENCE} || 'bash' || chr(10) || '$ npm install ' || source || chr(10) || {_FENCE} || chr(10)

@@ -135,7 +135,7 @@ def descriptions(spark, d):
 
 
 def table_cells(spark, d):
-    s = F.concat(F.lit("$ curl  | "), F.col("source"), F.lit("\r\n [link](http://x) "), F.substring("text", 1, 60))
+    s = F.concat(F.lit("$ curl  | "), F.col("source"), F.lit("\r\n [link](http://x) "), F.col("text"))
     docs = spark.read.parquet(f"{d}/documents.parquet")
     return docs.select("doc_id", facts.clean_syntax(s).alias("syntax"), facts.clean_description(s).alias("description"), facts.escape_table_cell(s).alias("cell"))
 
@@ -188,7 +188,7 @@ def catalog_rollup(spark, d):
 def frontmatter(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     title = F.concat(F.lit('A "'), F.col("source"), F.lit('"'))
-    return docs.select("doc_id", store.frontmatter(title, F.lit("https://x.io"), F.lit("2024-01-01"), F.lit("tools"), F.col("source"), F.substring("text", 1, 80)).alias("md"))
+    return docs.select("doc_id", store.frontmatter(title, F.lit("https://x.io"), F.lit("2024-01-01"), F.lit("tools"), F.col("source"), F.col("text")).alias("md"))
 
 
 def find_documents(spark, d):
@@ -378,7 +378,7 @@ nullif(regexp_extract(md, 'Using\s+([A-Z][a-zA-Z]+)', 1), ''), 'Documentation')
     "x10_descriptions": _SEC + rf"""
 SELECT doc_id, coalesce(list_filter(list_transform(string_split_regex(content, '[.!?]+'), lambda x: {_trim('x')}), lambda x: length(x) > 50 AND length(x) < 300 AND NOT contains(x, '`'))[1] || '.', 'Quick reference guide for essential functions and commands.') AS description
 FROM s WHERE contains(lower(title), 'introduction') OR contains(lower(title), 'overview') OR contains(lower(title), 'getting started')""",
-    "x11_table_cells": rf"""WITH t AS (SELECT doc_id, '$ curl  | ' || source || chr(13) || chr(10) || ' [link](http://x) ' || substr(text, 1, 60) AS x FROM documents)
+    "x11_table_cells": rf"""WITH t AS (SELECT doc_id, '$ curl  | ' || source || chr(13) || chr(10) || ' [link](http://x) ' || text AS x FROM documents)
 SELECT doc_id, {_trim(r"substr(regexp_replace(regexp_replace(x, '^\$\s+', ''), '^curl\s+', 'curl '), 1, 50)")} AS syntax, {_trim(r"substr(regexp_replace(regexp_replace(x, '^[*+-]\s*', ''), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), 1, 80)")} AS description,
   {_trim("replace(replace(replace(x, '|', chr(92) || '|'), chr(10), ' '), chr(13), '')")} AS cell FROM t""",
     "d1_find_documents": _P + r""", k AS (SELECT array_to_string(string_split(h, '.')[-2:], '.') AS site FROM o WHERE h <> '' AND regexp_matches(url, '^https?://'))
@@ -393,5 +393,5 @@ strftime(modified, '%b %-d, %Y') AS date FROM s""",
     "g2_catalog_stats": f"WITH s AS ({STORE}) SELECT category, name, count(*) AS file_count, sum(bytes)::BIGINT AS total_size, max(modified) AS last_modified FROM s GROUP BY category, name",
     "g3_catalog_lines": f"""WITH s AS ({STORE}) SELECT category, name, '   📄 ' || name || ' (' || count(*) || ' files, ' || CAST(round(sum(bytes) / 1024) AS BIGINT) || 'KB, updated ' || strftime(max(modified), '%-m/%-d/%Y') || ')' AS line FROM s GROUP BY category, name""",
     "g4_catalog_rollup": f"WITH s AS ({STORE}) SELECT category, name, count(*) AS file_count, sum(bytes)::BIGINT AS total_size FROM s GROUP BY ROLLUP (category, name)",
-    "s10_frontmatter": r"""SELECT doc_id, '---' || chr(10) || 'title: "A \"' || source || '\""' || chr(10) || 'url: "https://x.io"' || chr(10) || 'date: "2024-01-01"' || chr(10) || 'category: "tools"' || chr(10) || 'tool: "' || source || '"' || chr(10) || '---' || chr(10) || chr(10) || substr(text, 1, 80) AS md FROM documents""",
+    "s10_frontmatter": r"""SELECT doc_id, '---' || chr(10) || 'title: "A \"' || source || '\""' || chr(10) || 'url: "https://x.io"' || chr(10) || 'date: "2024-01-01"' || chr(10) || 'category: "tools"' || chr(10) || 'tool: "' || source || '"' || chr(10) || '---' || chr(10) || chr(10) || text AS md FROM documents""",
 }
