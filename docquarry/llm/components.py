@@ -4,7 +4,7 @@ Each round every vertex points to its smallest neighbour (itself, if smaller),
 pointers are followed once more, and edges are drawn anew between the vertices
 pointed to.  Edges inside a group vanish, so the rounds are logarithmic in the
 longest path; stars, the common case, take one.  All steps are equi-joins and
-minima with map-side combining.
+minima with map-side combining; the centres of large stars are broadcast apart.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.shared import written
+from docquarry.llm.shared import spread_join, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,10 +22,11 @@ def components(edges: DataFrame) -> DataFrame:
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         first = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("to"))
+        first = written(first, "first")
         further = first.select(F.col("id").alias("to"), F.col("to").alias("then"))
-        pointers = written(first.join(further, "to").select("id", F.col("then").alias("to")), "pointers")
+        pointers = written(spread_join(first, further, ["to"]).select("id", F.col("then").alias("to")), "pointers")
         at = lambda c: pointers.select(F.col("id").alias(c), F.col("to").alias(f"{c}_to"))
-        drawn = left.join(at("a"), "a").join(at("b"), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
+        drawn = spread_join(left, at("a"), ["a"]).join(at("b"), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
         left = written(drawn.filter("a <> b").distinct(), "edges")
         if labels is None:
             labels = pointers.select("id", F.col("to").alias("label"))

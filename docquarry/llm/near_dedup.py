@@ -1,7 +1,9 @@
 """Near-duplicate detection by a chosen-path set similarity join.
 
 A document's set is its distinct five-word shingles (lower-cased A-Z).  Documents
-with equal sets are one *class*, and only its smallest id goes on.
+with equal sets are one *class*, and only its smallest id goes on.  A class has
+``TOKENS`` minwise tokens, which choose its paths, and a *sketch*: the least shingle
+hash in each of ``BINS`` bins, four bits of it, which estimates similarities closely.
 
 Chosen paths: every tree starts with all classes in its root.  A node chooses
 ``BRANCH`` of the minwise tokens by a hash of its own name, and a class moves to
@@ -10,28 +12,33 @@ on a token with probability s, so a pair at the threshold survives a tree with a
 probability that ``trees_for`` derives from the branching process; independent
 trees are repeated until the target recall is met.  Nodes with one class vanish,
 nodes of at most ``LEAF`` classes are compared exhaustively, larger ones branch
-again, down to ``DEPTH``.  A node whose classes mostly agree on a further token ends
-where it is: it is a family of similar texts that branching would copy, not split.
-
-Nodes that end larger than a leaf hold families of very similar texts.  They are
-compared exhaustively too, in two steps that avoid all pairs: first within dealt
-chunks, where the strongest pairs that connect the chunk are tried; then, given
-the components found, every member outside the node's main component against
-every member of another component, in blocks.  Small nodes take the same two
-steps, so a pair is left untried only if it is already connected.
-
-Pairs of the first step need a minwise estimate within about five deviations of the
-threshold and are confirmed on the full sets of the whole texts; the second step
-compares full sets at once and returns one link for each component a member meets.
-Only confirmed links form components.
+again until none is left.
+
+A large node in which ``DENSE`` of the classes agree on a chosen token is a *family*:
+that child would be the node again, so it is not followed.  Families of one profile
+are taken together.  Their members branch on all tokens but the commonest of each
+number, its *profile* (children hold at most half of the family, so depth is
+logarithmic), are compared within dealt chunks, and those whose similarity to the
+family's most typical member is above ``similarity - SLACK`` (its *core*) also against
+each other wherever they are not connected yet.  A pair outside the core shares more
+than ``SLACK`` beside the profile, and is met on such a token.
+
+Comparing nodes takes two steps, so that not all pairs of alike texts are confirmed:
+first the strongest pairs that connect a node; then, given the components found, the
+remaining pairs whose components differ.  A pair needs a sketch estimate within four and a half
+deviations of the threshold and is confirmed on the full sets (48-bit shingle hashes) of
+the whole texts.  Only confirmed links form components.
 
 Scale: the paths are long integers dealt by node name; counts per node combine on
-the map side; no task gathers more than a chunk of a node.  Texts travel once,
-compressed, and only those of classes that share a node are kept.
+the map side; no task gathers more than a chunk or a block of a node.  Texts travel
+once, compressed, and only those of classes that share a node are kept; they are
+fetched for pairs, never for blocks.  The one quadratic step is a core that hangs
+between threshold and threshold - SLACK without links, at 256 bytes a member.
 
 Defined results: null or empty texts have an empty set, link with nothing and are
 kept; one to four words are one shingle; rows that repeat an id count as one
-document and each get a row; rows with a null id are documents by their text, count
+document, for which the row with the largest set (then identity) speaks, and each get
+a row; rows with a null id are documents by their text, count
 as larger than every id and are shown as null (inside, their ids are hashes above the
 largest id, so the room above it bounds how many can be told apart); other columns are not read; an empty table gives no rows.
 """
@@ -47,22 +54,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.components import components
-from docquarry.llm.shared import written
+from docquarry.llm.shared import spread_join, written
 from docquarry.llm.substring_dedup import _pieces
 from docquarry.llm.words import U, as_bytes, hash_words, mix, span_hashes, window_hashes
 
-SHINGLE, TOKENS, BRANCH, DEPTH, LEAF, BLOCK = 5, 64, 2, 4, 64, 256
-DENSE = 0.6  # of a node's classes agree on one more token: they are alike, and branching would only copy them
+SHINGLE, TOKENS, BRANCH, LEAF, BLOCK = 5, 64, 2, 64, 1024
+DENSE, SLACK, CHUNKINGS, PROFILE = 0.6, 0.07, 3, 5
+BINS, PLANES = 512, 4  # of a sketch: bins, and bits of each
+WORDS = BINS // 64
 _NO_ID = 2**63 - 1
 _rng = np.random.Generator(np.random.PCG64(77))
-_MULTIPLIER = _rng.integers(0, 2**63, TOKENS, dtype=np.int64).astype(U) * U(2) + U(1)
-_ADDEND = _rng.integers(0, 2**63, TOKENS, dtype=np.int64).astype(U)
+_MULTIPLIER = _rng.integers(0, 2**31, TOKENS, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+_ADDEND = _rng.integers(0, 2**32, TOKENS, dtype=np.int64).astype(np.uint32)
 
 
 def trees_for(similarity: float, recall: float) -> int:
     """Trees after which a pair of this similarity has shared a leaf with probability ``recall``."""
     lost = 0.0
-    for _ in range(DEPTH):
+    for _ in range(64):  # to the fixed point, for depth has no bound
         lost = (1 - similarity * (1 - lost)) ** BRANCH
     return max(1, math.ceil(math.log(1 - recall) / math.log(lost)))
 
@@ -81,152 +90,243 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.bincount((keys >> U(48)).astype(np.int64), minlength=len(n))
 
 
+def sketches(keys: np.ndarray, rows: int) -> np.ndarray:
+    """[rows, PLANES * BINS / 8] bytes: by bin, 1 to 15 from the least hash in it, 0 where it is empty; as bit planes."""
+    values = np.zeros(rows * BINS, np.uint8)
+    cell = (keys >> U(48 - 9)).astype(np.int64)  # text, then the hash's upper nine bits
+    first = np.flatnonzero(np.diff(cell, prepend=-1))  # keys ascend
+    values[cell[first]] = (keys[first] & U(0xFFFF)) % U(15) + U(1)
+    values = values.reshape(rows, BINS)
+    return np.concatenate([np.packbits(values >> p & 1, axis=1) for p in range(PLANES)], 1)
+
+
 def _describe(batches):
-    """Size, 128-bit identity and minwise tokens of every document's set."""
-    for b in _pieces(batches):
-        for i in range(0, b.num_rows, 60_000):
-            part = b.slice(i, 60_000)
+    """Size, 128-bit identity, minwise tokens and sketch of every document's set."""
+    for b in _pieces(batches, most=1 << 21):
+        for i in range(0, b.num_rows, 8_000):
+            part = b.slice(i, 8_000)
             keys, sizes = shingle_sets(as_bytes(part.column("text")))
             has = np.flatnonzero(sizes)
             starts = (np.cumsum(sizes) - sizes)[has]
             h = mix(keys & U(2**48 - 1))
             ident = np.zeros((2, len(sizes)), U)
-            tokens = np.zeros((len(sizes), TOKENS), U)
+            tokens = np.zeros((len(sizes), TOKENS), np.uint32)
             if len(has):
                 ident[0, has] = np.add.reduceat(h, starts)
                 ident[1, has] = np.add.reduceat(mix(h ^ U(0x5851F42D4C957F2D)), starts)
+                short = (h >> U(32)).astype(np.uint32)
                 for k in range(TOKENS):
-                    tokens[has, k] = np.minimum.reduceat((h * _MULTIPLIER[k] + _ADDEND[k]) >> U(33), starts)
-            flat = pa.array(tokens.astype(np.int32).ravel())
+                    tokens[has, k] = np.minimum.reduceat(short * _MULTIPLIER[k] + _ADDEND[k], starts)
+            flat = pa.array(tokens.view(np.int32).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * TOKENS), flat)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(ident[0].view(np.int64)), pa.array(ident[1].view(np.int64)), lists], ["doc_id", "n", "h1", "h2", "tokens"])
+            sketch = pa.array([x.tobytes() for x in sketches(keys, len(sizes))], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(ident[0].view(np.int64)), pa.array(ident[1].view(np.int64)), lists, sketch], ["doc_id", "n", "h1", "h2", "tokens", "sketch"])
 
 
 def _compress(batches):
     pack = zstandard.ZstdCompressor(level=1).compress
-    for b in _pieces(batches):
+    for b in _pieces(batches, most=1 << 21):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([pack(x) for x in as_bytes(b.column("text"))], pa.binary())], ["id", "packed"])
 
 
-def _token(node: Column, tokens: str, k: int) -> Column:
-    """The child of ``node`` by its k-th chosen token; the chosen numbers differ."""
+# ---------------------------------------------------------------- paths
+
+
+def _number(node: Column, k: int) -> Column:
+    """The k-th token number that a node chooses; the chosen numbers differ."""
     one = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(TOKENS))
     number = one if k == 0 else F.pmod(one + 1 + F.pmod(F.xxhash64(node, F.lit(2)), F.lit(TOKENS - 1)), F.lit(TOKENS))
-    return F.xxhash64(node, number, F.get(F.col(tokens), number.cast("int")))
+    return number.cast("int")
+
+
+def _chosen(tokens: str = "tokens") -> Column:
+    """array<struct(slot, token)> of the tokens chosen by ``node``."""
+    return F.array(*[F.struct(_number(F.col("node"), k).alias("slot"), F.get(F.col(tokens), _number(F.col("node"), k)).alias("token")) for k in range(BRANCH)])
+
+
+def _child() -> Column:
+    return F.xxhash64("node", F.col("c.slot"), F.col("c.token"))
+
 
+def _counted(rows: DataFrame, slots: Column) -> DataFrame:
+    """(node, size, slot, token, n): how many of a node's classes have a token."""
+    return rows.select("node", "size", F.explode(slots).alias("c")).groupBy("node", "size", "c.slot", "c.token").agg(F.count(F.lit(1)).alias("n"))
 
-def _children(nodes: DataFrame) -> DataFrame:
-    """Rows (node, id, tokens) to (child, id)."""
-    return nodes.select("id", F.explode(F.array(*[_token(F.col("node"), "tokens", k) for k in range(BRANCH)])).alias("node"))
+
+def _spread(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """``rows(node, id, size, ...)`` with their node's ``facts``; a large node is dealt over many tasks."""
+    parts = F.ceil(F.col("size") / 4096).cast("int")
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    return dealt.join(facts.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("size"), ["node", "part"]).drop("part")
+
+
+def _families(held: DataFrame, dense: DataFrame) -> DataFrame:
+    """(node, id, size, tokens): the dense nodes' members, nodes of one profile taken together unless they come from a family."""
+    rows = held.join(dense, "node")
+    fixed = F.array(*[F.struct(F.lit(k).alias("slot"), F.get("tokens", F.lit(k)).alias("token")) for k in range(0, TOKENS, TOKENS // PROFILE)])
+    modes = _counted(rows.filter("NOT inner"), fixed).groupBy("node", "slot").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
+    profile = modes.groupBy("node").agg(F.xxhash64(F.sort_array(F.collect_list(F.struct("slot", "token")))).alias("family"))
+    named = rows.join(profile, "node", "left").select(F.coalesce("family", "node").alias("node"), "id").distinct()
+    named = written(named, "families")
+    sizes = named.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
+    return _distinct_nodes(named.join(sizes, "node"))
+
+
+def _branch_family(family: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Children (node, id) by the tokens beside a family's profile; the most typical member (node, hub) of each."""
+    slots = F.transform("tokens", lambda t, i: F.struct(i.alias("slot"), t.alias("token")))
+    modes = _counted(family, slots).groupBy("node", "size", "slot").agg(F.max(F.struct("n", "token")).alias("most"))
+    modes = modes.filter(F.col("most.n") > LEAF).select("node", "size", "slot", "most.token")
+    agreed = modes.groupBy("node", "size").agg(F.map_from_entries(F.collect_list(F.struct("slot", "token"))).alias("agreed"))
+    light = F.filter(slots, lambda c: F.coalesce(F.col("agreed")[c["slot"]] != c["token"], F.lit(True)))
+    told = written(_spread(family, agreed).select("node", "id", light.alias("light")), "light")
+    hubs = told.groupBy("node").agg(F.max_by("id", F.struct(-F.size("light"), -F.col("id"))).alias("hub"))
+    return told.select("id", "node", F.explode("light").alias("c")).select(_child().alias("node"), "id"), hubs
+
+
+def _distinct_nodes(nodes: DataFrame) -> DataFrame:
+    """One of the nodes that hold the same classes."""
+    sums = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2"))
+    return nodes.join(sums.groupBy("n", "h1", "h2").agg(F.min("node").alias("node")).select("node"), "node", "left_semi")
 
 
-def _nodes(classes: DataFrame, trees: int) -> DataFrame:
-    """(node, id, size) of every node at which the paths of two classes or more end."""
-    ended = None
-    open_ = classes.select("id", "tokens", F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("tree")).select("id", "tokens", F.xxhash64(F.lit("tree"), "tree").alias("node"))
-    for depth in range(1, DEPTH + 1):
-        child = _children(open_).distinct() if depth == 1 else written(_children(open_).distinct(), "paths")
+def _nodes(classes: DataFrame, trees: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Leaves (node, id, size) of two classes to LEAF; families (node, id, size); hubs (node, hub)."""
+    tokens = classes.select("id", "tokens")
+    open_ = tokens.select("id", "tokens", F.explode(F.array(*[F.xxhash64(F.lit("tree"), F.lit(t)) for t in range(trees)])).alias("node"), F.lit(False).alias("inner"))
+    leaves, families, hubs, light = None, None, None, None
+    both = lambda x, y: y if x is None else x.unionByName(y)
+    while True:
+        child = open_.select("id", "node", "inner", F.explode(_chosen()).alias("c")).select(_child().alias("node"), "id", "inner")
+        child = written(both(light, child).distinct(), "paths")
         sizes = child.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         level = written(child.join(sizes, "node"), "nodes")
-        done = level if depth == DEPTH else level.filter(F.col("size") <= LEAF)
-        done = done.select("node", "id", "size")
-        ended = done if ended is None else ended.unionByName(done)
+        leaves = both(leaves, level.filter(F.col("size") <= LEAF).select("node", "id", "size"))
         large = level.filter(F.col("size") > LEAF)
-        if depth == DEPTH or large.isEmpty():
+        if large.isEmpty():
             break
-        held = written(large.join(classes.select("id", "tokens"), "id").select("node", "id", "size", "tokens"), "open")
-        token = F.get("tokens", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(TOKENS)).cast("int"))
-        most = held.groupBy("node", "size", token.alias("token")).agg(F.count(F.lit(1)).alias("n")).groupBy("node", "size").agg(F.max("n").alias("most"))
+        held = written(large.join(tokens, "id").select("node", "id", "size", "inner", "tokens"), "open")
+        most = _counted(held, _chosen()).groupBy("node", "size").agg(F.max("n").alias("most"))
         dense = written(most.filter(F.col("most") >= DENSE * F.col("size")).select("node"), "dense")
-        ended = ended.unionByName(held.join(dense, "node", "left_semi").select("node", "id", "size"))
-        open_ = held.join(dense, "node", "left_anti").select("node", "id", "tokens")
-    return ended
+        open_ = held.join(dense, "node", "left_anti").select("id", "tokens", "node", "inner")
+        light = None
+        if not dense.isEmpty():
+            family = written(_families(held, dense), "families")
+            more, hub = _branch_family(family.join(tokens, "id"))
+            light = more.withColumn("inner", F.lit(True))
+            families, hubs = both(families, family), both(hubs, hub)
+    return _distinct_nodes(leaves), families, hubs
 
 
-def _distinct_nodes(nodes: DataFrame) -> DataFrame:
-    """One of the nodes that hold the same classes."""
-    sums = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2"))
-    return nodes.join(sums.groupBy("n", "h1", "h2").agg(F.min("node").alias("node")).select("node"), "node", "left_semi")
+# ---------------------------------------------------------------- comparing
+
+
+def _planes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bit planes [rows, PLANES, WORDS] of sketches, and which bins are not empty."""
+    x = np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, PLANES, WORDS)
+    return x, np.bitwise_or.reduce(x, axis=1)
 
 
-def _estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return (x[:, None, :] == y[None, :, :]).sum(2, dtype=np.int16)
+def _likely(x: tuple[np.ndarray, np.ndarray], nx: np.ndarray, y: tuple[np.ndarray, np.ndarray], ny: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated similarities [x, y], and whether they may reach ``similarity``."""
+    count = lambda z: np.bitwise_count(z).sum(2, dtype=np.int32)
+    both = x[1][:, None] & y[1][None]
+    differ = np.zeros_like(both)
+    for p in range(PLANES):
+        differ |= x[0][:, None, p] ^ y[0][None, :, p]
+    shared = count(both)
+    bins = np.maximum(count(x[1][:, None] | y[1][None]), 1)
+    estimate = (count(both & ~differ) - shared / 15) / (1 - 1 / 15) / bins  # one in fifteen agrees by chance
+    union = (nx[:, None] + ny[None]) / (1 + similarity)
+    spread = np.sqrt((similarity * (1 - similarity) * np.maximum(1 - bins / np.maximum(union, 1), 0) + (1 - similarity) / 15) / bins)
+    ok = estimate >= similarity - 4.5 * spread - 1e-9
+    return estimate, ok & (np.minimum(nx[:, None], ny[None]) >= similarity * np.maximum(nx[:, None], ny[None]))
 
 
-def _tokens_of(field: pa.Array) -> np.ndarray:
-    return field.flatten().to_numpy(zero_copy_only=False).reshape(-1, TOKENS)
+def _members(column: pa.Array):
+    """Offsets, then ids, set sizes and sketches of the members of each row's list."""
+    return column.offsets.to_numpy(), column.values.field(0).to_numpy(), column.values.field(1).to_numpy(), _planes(column.values.field(2))
 
 
-def _connect(least: int, similarity: float):
-    """Within each chunk: the pairs of a forest that joins all it can by the strongest estimates."""
+def _cut(x: tuple[np.ndarray, np.ndarray], s: int, e: int) -> tuple[np.ndarray, np.ndarray]:
+    return x[0][s:e], x[1][s:e]
+
+
+def _connect(similarity: float):
+    """Within each chunk: the pairs of a forest that joins all it can by the strongest estimates; null pairs name nodes with further likely pairs."""
 
     def run(batches):
         for b in batches:
-            a_out, b_out = [], []
-            col = b.column("members")
-            offsets = col.offsets.to_numpy()
-            ids, n, tokens = (col.values.field(i) for i in range(3))
-            ids, n, tokens = ids.to_numpy(), n.to_numpy(), _tokens_of(tokens)
-            for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            a_out, b_out, node_out = [], [], []
+            offsets, ids, n, planes = _members(b.column("members"))
+            nodes = b.column("node").to_pylist()
+            for r, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 m = e - s
                 if m < 2:
                     continue
-                if m == 2:
-                    if min(n[s], n[s + 1]) >= similarity * max(n[s], n[s + 1]) and (tokens[s] == tokens[s + 1]).sum() >= least:
-                        a_out.append(ids[s])
-                        b_out.append(ids[s + 1])
-                    continue
-                own = n[s:e]
-                est = _estimate(tokens[s:e], tokens[s:e])
-                est[np.minimum(own[:, None], own) < similarity * np.maximum(own[:, None], own)] = 0
+                est, ok = _likely(_cut(planes, s, e), n[s:e], _cut(planes, s, e), n[s:e], similarity)
+                est = np.where(ok, est + 2.0, 0.0)  # likely pairs are above zero
                 np.fill_diagonal(est, 0)
                 best, link, todo = est[0].copy(), np.zeros(m, np.int64), np.ones(m, bool)
                 todo[0] = False
+                used = 0
                 for _ in range(m - 1):  # Prim; a new tree begins where nothing reaches
-                    k = int(np.argmax(np.where(todo, best, -1)))
+                    k = int(np.argmax(np.where(todo, best, -1.0)))
                     todo[k] = False
-                    if best[k] >= least:
+                    if best[k] > 0:
+                        used += 1
                         a_out.append(ids[s + k])
                         b_out.append(ids[s + link[k]])
                     better = est[k] > best
                     best[better], link[better] = est[k][better], k
-            yield _pairs_batch(a_out, b_out)
+                if np.count_nonzero(est) > 2 * used:
+                    node_out.append(nodes[r])
+            pairs = _pairs_batch(a_out, b_out)
+            pad = lambda c, k: pa.concat_arrays([c, pa.nulls(k, pa.int64())])
+            names = pa.concat_arrays([pa.nulls(len(a_out), pa.int64()), pa.array(node_out, pa.int64())])
+            yield pa.RecordBatch.from_arrays([pad(pairs.column(0), len(node_out)), pad(pairs.column(1), len(node_out)), names], ["a", "b", "node"])
 
     return run
 
 
-def _across(percent: int):
-    """Within each block: its members against strays whose components differ, on the full sets; a link for each component met."""
+def _across(similarity: float):
+    """Likely pairs between ``asked`` and ``held`` members whose components differ."""
 
     def run(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            a_out, b_out = [], []
+            a_out, b_out = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            sides = [(*_members(b.column(c)), b.column(c).values.field(3).to_numpy()) for c in ("asked", "held")]
             for r in range(b.num_rows):
-                (mid, mlabel, mtexts), (sid, slabel, stexts) = ((c.field(0).to_numpy(), c.field(1).to_numpy(), c.field(2).to_pylist()) for c in (b.column(x)[r].values for x in ("members", "strays")))
-                keys, n = shingle_sets([unpack(t) for t in mtexts])
-                shingle = keys & U(2**48 - 1)
-                order = np.argsort(shingle)
-                shingle, owner = shingle[order], (keys >> U(48)).astype(np.int64)[order]
-                asked, asked_n = shingle_sets([unpack(t) for t in stexts])
-                ends = np.cumsum(asked_n)
-                for i in range(len(sid)):
-                    own = asked[ends[i] - asked_n[i] : ends[i]] & U(2**48 - 1)
-                    lo, hi = np.searchsorted(shingle, own, "left"), np.searchsorted(shingle, own, "right")
-                    edge = np.zeros(len(shingle) + 1, np.int32)
-                    np.add.at(edge, lo, 1)
-                    np.add.at(edge, hi, -1)
-                    common = np.bincount(owner[np.cumsum(edge[:-1]) > 0], minlength=len(mid))
-                    ok = np.flatnonzero((100 * common >= percent * (asked_n[i] + n - common)) & (mlabel != slabel[i]))
-                    one = ok[np.unique(mlabel[ok], return_index=True)[1]]
-                    a_out.extend([sid[i]] * len(one))
-                    b_out.extend(mid[one])
-            yield _pairs_batch(a_out, b_out)
+                (s, e), (hs, he) = ((side[0][r], side[0][r + 1]) for side in sides)
+                (_, ids, n, planes, label), (_, hids, hn, hplanes, hlabel) = sides
+                for at in range(s, e, 64):
+                    to = min(at + 64, e)
+                    _, ok = _likely(_cut(planes, at, to), n[at:to], _cut(hplanes, hs, he), hn[hs:he], similarity)
+                    i, j = np.nonzero(ok & (label[at:to, None] != hlabel[None, hs:he]))
+                    a_out.append(ids[at + i])
+                    b_out.append(hids[hs + j])
+            yield _pairs_batch(np.concatenate(a_out), np.concatenate(b_out))
 
     return run
 
 
-def _pairs_batch(a: list, b: list) -> pa.RecordBatch:
+def _typical(similarity: float):
+    """The rows whose sketch may be as similar as this to their hub's."""
+
+    def run(batches):
+        for b in batches:
+            x, y = _planes(b.column("sketch")), _planes(b.column("hub_sketch"))
+            n, m = b.column("n").to_numpy(), b.column("hub_n").to_numpy()
+            ok = np.zeros(b.num_rows, bool)
+            for i in range(b.num_rows):
+                est = _likely(_cut(x, i, i + 1), n[i : i + 1], _cut(y, i, i + 1), m[i : i + 1], similarity)[0]
+                ok[i] = est[0, 0] >= similarity
+            yield b.filter(pa.array(ok)).select(["node", "id", "size", "label", "n", "sketch"])
+
+    return run
+
+
+def _pairs_batch(a: list | np.ndarray, b: list | np.ndarray) -> pa.RecordBatch:
     a, b = np.array(a, np.int64), np.array(b, np.int64)
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -250,7 +350,10 @@ def _confirmed(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     at = lambda c: packed.select(F.col("id").alias(c), F.col("packed").alias(f"packed_{c}"))
     both = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "packed_a", "packed_b")
-    return written(both.mapInArrow(_confirm(percent), "a long, b long"), "links", arrow_rows=2000)
+    return written(both.mapInArrow(_confirm(percent), "a long, b long"), "links", arrow_rows=400)
+
+
+# ---------------------------------------------------------------- the operator
 
 
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, int]:
@@ -281,49 +384,91 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def _found(docs: DataFrame, key: Column, text_col: str, percent: int, recall: float) -> DataFrame:
     """doc_id, n, component_id by ``key``, for every row."""
     similarity = percent / 100
-    least = math.floor(TOKENS * similarity - 4.7 * math.sqrt(TOKENS * similarity * (1 - similarity)))
     rows = docs.select(key.alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sets = written(rows.mapInArrow(_describe, "doc_id long, n long, h1 long, h2 long, tokens array<int>"), "sets")
-    equal = sets.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"))
-    member = written(sets.select("doc_id", "n", "h1", "h2").join(equal, ["n", "h1", "h2"], "left").select("doc_id", "n", F.coalesce("id", "doc_id").alias("id")), "members")
-    firsts = member.filter("n > 0 AND id = doc_id").select("doc_id").distinct()
-    classes = written(sets.join(firsts, "doc_id").select(F.col("doc_id").alias("id"), "n", "tokens").dropDuplicates(["id"]), "classes")
-
-    nodes = written(_distinct_nodes(_nodes(classes, trees_for(similarity, recall))), "leaves")
-    candidate = nodes.select("id").distinct()
-    packed = written(rows.mapInArrow(_compress, "id long, packed binary").join(candidate, "id").dropDuplicates(["id"]), "texts")
-
-    described = nodes.join(classes, "id")
-    chunk = F.pmod(F.xxhash64("node", "id"), F.ceil(F.col("size") / LEAF)).cast("int")
-    chunks = described.groupBy("node", chunk.alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("id", "n", "tokens"))).alias("members"))
-    chunks = chunks.select("members").dropDuplicates()
-    first = written(chunks.mapInArrow(_connect(least, similarity), "a long, b long").distinct(), "pairs", arrow_rows=500)
-    links = _confirmed(first, packed, percent)
+    sets = written(rows.mapInArrow(_describe, "doc_id long, n long, h1 long, h2 long, tokens array<int>, sketch binary"), "sets", arrow_rows=2000)
+    identity = F.struct("n", "h1", "h2")
+    repeated = written(sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(identity).alias("best")).filter("rows > 1").select("doc_id", "best"), "repeated")
+    speaking = sets.drop("tokens", "sketch")
+    if not repeated.isEmpty():
+        speaking = speaking.join(repeated, "doc_id", "left").filter(F.col("best").isNull() | (identity == F.col("best"))).drop("best").distinct()
+        speaking = written(speaking, "speaking")
+    equal = written(speaking.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id")), "equal")
+    member = spread_join(speaking.filter("n > 0"), equal, ["n", "h1", "h2"]).select("doc_id", "n", "id")
+    first = equal.select(F.col("id").alias("doc_id"), "n", "h1", "h2")
+    classes = written(sets.join(first, ["doc_id", "n", "h1", "h2"]).select(F.col("doc_id").alias("id"), "n", "tokens", "sketch").dropDuplicates(["id"]), "classes")
+
+    leaves, families, hubs = _nodes(classes, trees_for(similarity, recall))
+    leaves = written(leaves, "leaves")
+    held = leaves.select("id") if families is None else leaves.select("id").unionByName(families.select("id"))
+    packed = written(rows.mapInArrow(_compress, "id long, packed binary").join(held.distinct(), "id"), "texts", arrow_rows=2000)
+    if not repeated.isEmpty():
+        packed = _speaking_texts(packed, repeated)
+
+    sketch = classes.select("id", "n", "sketch")
+    item = F.struct("id", "n", "sketch")
+    chunks = leaves.join(sketch, "id").groupBy("node").agg(F.sort_array(F.collect_list(item)).alias("members"))
+    if families is not None:
+        dealt = F.explode(F.array(*[F.struct(F.lit(c).alias("way"), F.pmod(F.xxhash64("node", "id", F.lit(c)), F.ceil(F.col("size") / LEAF)).alias("chunk")) for c in range(CHUNKINGS)]))
+        alike = families.join(sketch, "id").withColumn("c", dealt).groupBy("node", "c").agg(F.sort_array(F.collect_list(item)).alias("members"))
+        chunks = chunks.unionByName(alike.select(F.lit(None).cast("long").alias("node"), "members"))
+    first = written(chunks.mapInArrow(_connect(similarity), "a long, b long, node long"), "pairs", arrow_rows=200)
+    tried = written(first.filter("a IS NOT NULL").select("a", "b").distinct(), "pairs")
+    links = _confirmed(tried, packed, percent)
     labels = written(components(links), "labels")
 
-    more = written(_cross_links(nodes, packed, labels, percent), "links", arrow_rows=16)
-    if not more.isEmpty():
-        labels = written(components(links.unionByName(more)), "labels")
+    more = leaves.join(first.filter("node IS NOT NULL").select("node"), "node", "left_semi")
+    likely = _cross_pairs(more, labels, sketch, similarity)
+    if families is not None:
+        likely = likely.unionByName(_core_pairs(families, hubs, labels, sketch, similarity))
+    likely = written(likely.distinct().join(tried, ["a", "b"], "left_anti"), "pairs", arrow_rows=16)
+    if not likely.isEmpty():
+        labels = written(components(links.unionByName(_confirmed(likely, packed, percent))), "labels")
 
-    return member.join(labels, "id", "left").select("doc_id", "n", F.coalesce("label", "id").alias("component_id"))
+    placed = member.join(labels, "id", "left").select("doc_id", "n", F.coalesce("label", "id").alias("component_id"))
+    placed = placed.unionByName(speaking.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return placed if repeated.isEmpty() else sets.select("doc_id", "n").join(placed.drop("n"), "doc_id")
 
 
-def _cross_links(nodes: DataFrame, packed: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Links of a node whose components still differ: strays (outside its main component) against all, in blocks.
+def _speaking_texts(packed: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The text that speaks for each id: one of the set named in ``repeated``."""
 
-    A node of two has had its only pair tried in the first step.
-    """
-    labelled = nodes.filter("size > 2").join(labels, "id", "left").select("node", "size", "id", F.coalesce("label", "id").alias("label"))
-    parts = labelled.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("node").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).getField("label").alias("main")).filter("labels > 1")
-    members = labelled.join(mixed.select("node", "main"), "node").join(packed, "id")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    item = F.struct("id", "label", "packed").alias("item")
+    def told(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            texts = pa.array([unpack(t).decode() for t in b.column("packed").to_pylist()], pa.string())
+            found = list(_describe([pa.RecordBatch.from_arrays([b.column("id"), texts], ["doc_id", "text"])]))
+            parts = [pa.concat_arrays([d.column(c) for d in found]) if found else pa.array([], pa.int64()) for c in ("n", "h1", "h2")]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *parts, b.column("packed")], ["id", "n", "h1", "h2", "packed"])
+
+    best = repeated.select(F.col("doc_id").alias("id"), "best.n", "best.h1", "best.h2")
+    several = packed.join(best.select("id"), "id").mapInArrow(told, "id long, n long, h1 long, h2 long, packed binary")
+    one = several.join(best, ["id", "n", "h1", "h2"]).groupBy("id").agg(F.min("packed").alias("packed"))
+    return written(packed.join(best.select("id"), "id", "left_anti").unionByName(one), "texts")
+
+
+def _cross_pairs(nodes: DataFrame, labels: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
+    """Likely pairs of leaves whose components differ."""
+    labelled = nodes.join(labels, "id", "left").select("node", "id", F.coalesce("label", "id").alias("label"))
+    mixed = labelled.groupBy("node").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("node")
+    members = labelled.join(mixed, "node").join(sketch, "id").groupBy("node").agg(F.collect_list(F.struct("id", "n", "sketch", "label")).alias("held"))
+    return members.select(F.col("held").alias("asked"), "held").mapInArrow(_across(similarity), "a long, b long")
+
+
+def _core_pairs(families: DataFrame, hubs: DataFrame, labels: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
+    """Likely pairs of a family's core: strays (outside its main component) against all, in blocks."""
+    labelled = families.join(labels, "id", "left").select("node", "id", "size", F.coalesce("label", "id").alias("label"))
+    parts = labelled.groupBy("node", "size", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("node", "size").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).getField("label").alias("main")).filter("labels > 1")
+    hub = mixed.join(hubs, "node").join(sketch.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("sketch").alias("hub_sketch")), "hub")
+    rows = _spread(labelled.join(sketch, "id"), hub.select("node", "size", "hub_n", "hub_sketch"))
+    core = written(rows.mapInArrow(_typical(similarity - SLACK), "node long, id long, size long, label long, n long, sketch binary"), "core", arrow_rows=2000)
+    sizes = core.groupBy("node").agg(F.count(F.lit(1)).alias("core"))
+    members = core.join(sizes, "node").join(mixed.select("node", "main"), "node")
+    blocks = F.ceil(F.col("core") / BLOCK).cast("int")
+    item = F.struct("id", "n", "sketch", "label").alias("item")
     block = F.pmod(F.xxhash64("node", "id"), blocks).cast("int").alias("block")
-    strays = members.filter("label <> main")
     # Strays are dealt too, so that no task gathers all of a node's strays.
-    dealt = strays.select("node", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), block.alias("deal"), item)
-    asked = dealt.groupBy("node", "block", "deal").agg(F.collect_list("item").alias("strays"))
-    held = members.select("node", block, item).groupBy("node", "block").agg(F.collect_list("item").alias("members"))
-    joined = asked.join(held, ["node", "block"]).select("members", "strays")
-    return joined.mapInArrow(_across(percent), "a long, b long").distinct()
+    dealt = members.filter("label <> main").select("node", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), block.alias("deal"), item)
+    asked = dealt.groupBy("node", "block", "deal").agg(F.collect_list("item").alias("asked"))
+    held = members.select("node", block, item).groupBy("node", "block").agg(F.collect_list("item").alias("held"))
+    return asked.join(held, ["node", "block"]).select("asked", "held").mapInArrow(_across(similarity), "a long, b long")

@@ -6,15 +6,18 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests), a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset a temporary one, in local mode (tests) alone."""
     found = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_SETTING} to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="docquarry-")
         spark.conf.set(_SETTING, found)
     return found.rstrip("/")
@@ -35,3 +38,23 @@ def written(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFram
     finally:
         spark.conf.set(_ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` (a written table) joined with ``facts``, unique by ``keys``, without hot keys in one task.
+
+    Keys that more than a ten-thousandth of the rows share (at least 4096 of them) are hot; there are
+    at most ten thousand of these by arithmetic, so their facts are broadcast. Others meet in a shuffle.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("how must be inner or left")
+    total = rows.count()
+    if total <= 4096:
+        return rows.join(facts, keys, how)
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > max(4096, total // 10_000))
+    hot = written(counted.select(*keys), "hot")
+    if hot.isEmpty():
+        return rows.join(facts, keys, how)
+    few = F.broadcast(facts.join(F.broadcast(hot), keys, "left_semi"))
+    rest = rows.join(F.broadcast(hot), keys, "left_anti").join(facts, keys, how)
+    return rest.unionByName(rows.join(F.broadcast(hot), keys, "left_semi").join(few, keys, how))

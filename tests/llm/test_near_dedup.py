@@ -66,3 +66,53 @@ def test_components(spark):
     got = {r.id: r.label for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert all(got[i] == 1 for i in range(1, 41)) and got[100] == got[95] == 90 and got[300] == 200
     assert trees_for(0.75, 0.9999) == 4 or trees_for(0.75, 0.9999) == 5
+
+
+def _template_family(rows: int, seed: int, shared: int = 140, own: int = 35) -> list[tuple[int, str]]:
+    g = random.Random(seed)
+    common = [f"t{i}" for i in range(shared)]
+    return [(i, " ".join(common[: shared // 2] + [f"w{g.randrange(10**9)}" for _ in range(own)] + common[shared // 2 :])) for i in range(rows)]
+
+
+def test_families_around_the_threshold_equal_brute_force(spark):
+    g = random.Random(11)
+    rows = _template_family(150, 1)
+    for start in range(0, 120, 3):  # further texts of one family: some linked to the one they come from, some not
+        words = rows[start][1].split()
+        for at in range(70, 70 + g.randrange(2, 34)):
+            words[at] = f"v{g.randrange(10**9)}"
+        rows.append((1000 + start, " ".join(words)))
+    rows += [(2000 + i, t.replace("t1 ", "u1 ")) for i, t in _template_family(100, 2, 150, 12)]  # similar to one another
+    g.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect()) == brute(sorted(rows))
+
+
+def test_template_family_work_grows_with_rows(spark, monkeypatch):
+    """Texts that share a template, but not three quarters, are not compared with all others."""
+    from docquarry.llm import near_dedup
+
+    handed = {}
+    real = near_dedup.written
+
+    def counted(df, name, arrow_rows=None):
+        out = real(df, name, arrow_rows)
+        if name in ("paths", "pairs", "core"):
+            handed[size] += out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    for size in (500, 2000):
+        handed[size] = 0
+        docs = spark.createDataFrame(_template_family(size, 3), "doc_id long, text string")
+        assert near_duplicates(docs).filter("not kept").isEmpty()
+    assert handed[2000] < 6 * handed[500]
+
+
+def test_repeated_ids_let_the_larger_set_speak(spark):
+    long = " ".join(f"a{i}" for i in range(40))
+    rows = [(1, long), (1, "few words"), (2, long), (3, "few words"), (3, "few words")]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in found.collect()) == [
+        (1, 1, 1, True), (1, 36, 1, True), (2, 36, 1, False), (3, 1, 3, True), (3, 1, 3, True)
+    ]
