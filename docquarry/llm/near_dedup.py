@@ -161,8 +161,10 @@ def _spread(rows: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def _families(held: DataFrame, dense: DataFrame) -> DataFrame:
-    """(node, id, size, tokens): the dense nodes' members, nodes of one profile taken together unless they come from a family."""
+    """(node, id, size): the dense nodes' members, nodes of one profile taken together unless they come from a family."""
     rows = held.join(dense, "node")
+    if held.filter("NOT inner").isEmpty():
+        return _distinct_nodes(rows.select("node", "id", "size"))
     fixed = F.array(*[F.struct(F.lit(k).alias("slot"), F.get("tokens", F.lit(k)).alias("token")) for k in range(0, TOKENS, TOKENS // PROFILE)])
     modes = _counted(rows.filter("NOT inner"), fixed).groupBy("node", "slot").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
     profile = modes.groupBy("node").agg(F.xxhash64(F.sort_array(F.collect_list(F.struct("slot", "token")))).alias("family"))
@@ -421,8 +423,9 @@ def _found(docs: DataFrame, key: Column, text_col: str, percent: int, recall: fl
     if families is not None:
         likely = likely.unionByName(_core_pairs(families, hubs, labels, sketch, similarity))
     likely = written(likely.distinct().join(tried, ["a", "b"], "left_anti"), "pairs", arrow_rows=16)
-    if not likely.isEmpty():
-        labels = written(components(links.unionByName(_confirmed(likely, packed, percent))), "labels")
+    further = None if likely.isEmpty() else _confirmed(likely, packed, percent)
+    if further is not None and not further.isEmpty():
+        labels = written(components(links.unionByName(further)), "labels")
 
     placed = member.join(labels, "id", "left").select("doc_id", "n", F.coalesce("label", "id").alias("component_id"))
     placed = placed.unionByName(speaking.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
