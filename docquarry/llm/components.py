@@ -21,12 +21,13 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        first = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("to"))
+        first = both.groupBy("a").agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("rows")).select(F.col("a").alias("id"), F.least("a", "b").alias("to"), "rows")
         first = written(first, "first")
-        further = first.select(F.col("id").alias("to"), F.col("to").alias("then"))
-        pointers = written(spread_join(first, further, ["to"]).select("id", F.col("then").alias("to")), "pointers")
+        further = first.select(F.col("id").alias("to"), F.col("to").alias("then"), "rows")  # at most as many point to it
+        pointers = written(spread_join(first.drop("rows"), further, ["to"]).select("id", F.col("then").alias("to")), "pointers")
         at = lambda c: pointers.select(F.col("id").alias(c), F.col("to").alias(f"{c}_to"))
-        drawn = spread_join(left, at("a"), ["a"]).join(at("b"), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
+        degree = first.select(F.col("id").alias("a"), "rows")
+        drawn = spread_join(left, written(at("a").join(degree, "a"), "degrees"), ["a"]).join(at("b"), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
         left = written(drawn.filter("a <> b").distinct(), "edges")
         if labels is None:
             labels = pointers.select("id", F.col("to").alias("label"))

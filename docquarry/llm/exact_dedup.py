@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.shared import written
+from docquarry.llm.shared import spread_join, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 _NO_ID = 2**63 - 1
@@ -66,10 +66,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     # A digest is settled if one text has it.
     by_digest = classes.groupBy("sha").agg(
-        F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")
+        F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.sum("group_size").alias("rows")
     )
     by_digest = written(by_digest, "digests")
-    found = rows.select("doc_id", "sha").join(by_digest.filter("texts = 1"), "sha").select("doc_id", "keep_id", "group_size", "sha")
+    keyed = written(rows.select("doc_id", "sha"), "keyed")
+    found = spread_join(keyed, by_digest.filter("texts = 1"), ["sha"]).select("doc_id", "keep_id", "group_size", "sha")
     shared = by_digest.filter("texts > 1").select("sha")
     if not shared.isEmpty():  # different texts with one SHA-256 digest: match those rows on the text itself
         collided = rows.join(shared, "sha", "left_semi").select("doc_id", "sha", "norm")

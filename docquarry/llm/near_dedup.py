@@ -394,7 +394,7 @@ def _found(docs: DataFrame, key: Column, text_col: str, percent: int, recall: fl
     if not repeated.isEmpty():
         speaking = speaking.join(repeated, "doc_id", "left").filter(F.col("best").isNull() | (identity == F.col("best"))).drop("best").distinct()
         speaking = written(speaking, "speaking")
-    equal = written(speaking.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id")), "equal")
+    equal = written(speaking.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("rows")), "equal")
     member = spread_join(speaking.filter("n > 0"), equal, ["n", "h1", "h2"]).select("doc_id", "n", "id")
     first = equal.select(F.col("id").alias("doc_id"), "n", "h1", "h2")
     classes = written(sets.join(first, ["doc_id", "n", "h1", "h2"]).select(F.col("doc_id").alias("id"), "n", "tokens", "sketch").dropDuplicates(["id"]), "classes")

@@ -40,21 +40,19 @@ def written(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """``rows`` (a written table) joined with ``facts``, unique by ``keys``, without hot keys in one task.
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner", size: str = "rows") -> DataFrame:
+    """``rows`` joined with ``facts``, unique by ``keys``, without hot keys in one task; both are written tables.
 
-    Keys that more than a ten-thousandth of the rows share (at least 4096 of them) are hot; there are
-    at most ten thousand of these by arithmetic, so their facts are broadcast. Others meet in a shuffle.
+    ``size`` is the column of ``facts`` that counts the rows of a key (it is left out of the result).  Keys that
+    more than a ten-thousandth of the rows share (at least 4096 of them) are hot; there are at most ten
+    thousand of these by arithmetic, so their facts are broadcast.  Others meet in a shuffle.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     total = rows.count()
-    if total <= 4096:
-        return rows.join(facts, keys, how)
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > max(4096, total // 10_000))
-    hot = written(counted.select(*keys), "hot")
-    if hot.isEmpty():
-        return rows.join(facts, keys, how)
-    few = F.broadcast(facts.join(F.broadcast(hot), keys, "left_semi"))
-    rest = rows.join(F.broadcast(hot), keys, "left_anti").join(facts, keys, how)
-    return rest.unionByName(rows.join(F.broadcast(hot), keys, "left_semi").join(few, keys, how))
+    known = facts.drop(size)
+    hot = facts.filter(F.col(size) > max(4096, total // 10_000)).drop(size)
+    if total <= 4096 or hot.isEmpty():
+        return rows.join(known, keys, how)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(known, keys, how)
+    return rest.unionByName(rows.join(F.broadcast(hot), keys))

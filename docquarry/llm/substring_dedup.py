@@ -6,24 +6,29 @@ into *blocks*: the word run around one anchor.  The anchor of a window of
 have equal anchors wherever they stand; consecutive windows with one anchor form
 a block.  All blocks of all documents are indexed:
 
-* block index: (anchor, hash of the block's words) -> smallest document id;
+* block index: (anchor, hash of the block's words) -> first occurrence, the smallest
+  (document id, word position);
 * window index, for anchors that stand in several different blocks: hash of the
-  window's words -> smallest document id.
-
-A document is then factored greedily from left to right.  A factor is the
-longest run of words that the indexed blocks of smaller documents cover: it
-grows block by block while whole blocks match.  Where the next block does not
-match as a whole the factor ends inside it, and there, at the factor's boundary,
-the windows are checked one by one.  A factor of ``width`` words or more is a
-duplicate span.  Anchors that no other document has cannot start such a factor,
-so those blocks are never looked at again; this loses nothing.
+  window's words -> first occurrence.
+
+A document is then factored from left to right.  A factor (start, length, reference
+document, reference position) begins at the first word not yet tried whose window
+occurs in a smaller document, and greedily grows by one word after another while
+that same reference goes on; blocks that match as a whole let it grow over all
+their windows at once.  Where the reference changes or the next block does not match as a
+whole the factor ends, and there, at the factor's boundary, the windows that straddle it
+are checked one by one and begin factors of their own.  A factor is at least
+``width`` words long and its words are duplicates.  Anchors that no other document
+has cannot start a factor, so those blocks are never looked at again; this loses
+nothing.
 
 Scale: only hashes are shuffled for the index (a block is about twenty words);
 both indexes are minima, combined on the map side, so a passage that a third of
-the documents hold is one row per map task.  The joins back are ordinary
-equi-joins that the adaptive planner may split.  Texts are dealt by id once.
+the documents hold is one row per map task, and the first occurrences of hot passages
+are broadcast (``spread_join``) when they go back to the documents.
 
-Identity: a block is known by 128 bits (anchor and block hash), a window by 128.
+Identity: a block is known by 128 bits (anchor and block hash), a window by 128 in the index;
+within one document its references are found by 64.
 
 Defined results: null text and texts without words give n_words 0 and an empty
 kept text; texts shorter than ``width`` words are kept whole; a null id counts as
@@ -40,8 +45,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.shared import written
-from docquarry.llm.words import BASE_A, BASE_B, U, as_bytes, hash_words, sliding_min, span_hashes, window_hashes
+from docquarry.llm.shared import spread_join, written
+from docquarry.llm.words import BASE_A, BASE_B, U, as_bytes, hash_words, mix, sliding_min, span_hashes, window_hashes
 
 GRAM = 8
 _NO_ID = 2**63 - 1
@@ -86,7 +91,7 @@ def _emit_blocks(width: int):
             anchor, first, last, owner = _blocks(words, offsets, width)
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)[owner]
             block = span_hashes(words, first, last + width)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(anchor)), pa.array(_signed(block)), pa.array(ids)], ["anchor", "block", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(anchor)), pa.array(_signed(block)), pa.array(ids), pa.array(first - offsets[owner])], ["anchor", "block", "doc_id", "pos"])
 
     return run
 
@@ -98,13 +103,14 @@ def _emit_windows(width: int):
         for b in _pieces(batches):
             words, offsets = hash_words(as_bytes(b.column("text")))
             _, first, last, owner = _blocks(words, offsets, width)
-            asked = _member(b.column("variants"), owner, _signed(span_hashes(words, first, last + width)))
+            asked = _find(b.column("variants"), owner, _signed(span_hashes(words, first, last + width)))[1]
             first, last, owner = first[asked], last[asked], owner[asked]
             n = last - first + 1
             at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)[np.repeat(owner, n)]
+            owner = np.repeat(owner, n)
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False)[owner]
             a, c = _two_hashes(words, at, width)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(ids)], ["a", "b", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(ids), pa.array(at - offsets[owner])], ["a", "b", "doc_id", "pos"])
 
     return run
 
@@ -113,16 +119,41 @@ def _two_hashes(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarr
     return tuple(_signed(window_hashes(words, width, base)[at]) if len(at) else np.empty(0, np.int64) for base in (BASE_A, BASE_B))
 
 
-def _member(lists: pa.Array, owner: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """For every (owner, value): does the owner's list hold the value?"""
-    from docquarry.llm.words import mix
+def _find(lists: pa.Array, owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every (owner, value): the place of that value among the owner's list, counted over all lists, and whether it is there.
 
+    The lists hold the values, or structs that begin with them.
+    """
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
     sizes = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()], np.int64)
-    held = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    held = lists.flatten()
+    held = (held.field(0) if pa.types.is_struct(held.type) else held).to_numpy(zero_copy_only=False).astype(np.int64)
     tag = lambda o, v: v.view(U) ^ mix(o.astype(U) + U(1))
-    return np.isin(tag(owner, value), tag(np.repeat(np.arange(len(sizes)), sizes), held))
+    tags = tag(np.repeat(np.arange(len(sizes)), sizes), held)
+    order = np.argsort(tags)
+    if not len(order) or not len(value):
+        return np.zeros(len(value), np.int64), np.zeros(len(value), bool)
+    asked = tag(owner, value)
+    at = np.minimum(np.searchsorted(tags[order], asked), len(order) - 1)
+    return order[at], tags[order[at]] == asked
+
+
+def _references(lists: pa.Array, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document and position of the references at ``places`` of lists of (value, document, position)."""
+    held = lists.flatten()
+    return tuple(held.field(k).to_numpy(zero_copy_only=False)[places] if len(places) else np.empty(0, np.int64) for k in (1, 2))
+
+
+def parse(start: np.ndarray, doc: np.ndarray, pos: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy factors of covered windows in order: places of each factor's first window, and its words.
+
+    A factor grows while the next window is the next word's and its reference is the same document's next word.
+    """
+    new = np.ones(len(start), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(start))) + width - 1
 
 
 def _factor(width: int):
@@ -134,17 +165,23 @@ def _factor(width: int):
             words, offsets = hash_words(texts)
             _, first, last, owner = _blocks(words, offsets, width)
             block = _signed(span_hashes(words, first, last + width))
-            whole = _member(b.column("matched"), owner, block)
-            part = _member(b.column("variants"), owner, block) & ~whole
-            cover = np.zeros(len(words) + 1, np.int64)  # +1 where a factor begins, -1 behind its end
-            np.add.at(cover, first[whole], 1)
-            np.add.at(cover, last[whole] + width, -1)
-            n = (last - first + 1)[part]
+            place, whole = _find(b.column("matched"), owner, block)
+            part = _find(b.column("variants"), owner, block)[1] & ~whole
+            n = (last - first + 1)[whole]  # windows of matched blocks: the block's reference, and on
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            doc, pos = _references(b.column("matched"), place[whole])
+            hits = [(np.repeat(first[whole], n) + inside, np.repeat(doc, n), np.repeat(pos, n) + inside, np.repeat(owner[whole], n))]
+            n = (last - first + 1)[part]  # single windows at the boundaries
             at = np.repeat(first[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            a, _ = _two_hashes(words, at, width)
-            at = at[_member(b.column("windows"), np.repeat(owner[part], n), a)]
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + width, -1)
+            place, there = _find(b.column("windows"), np.repeat(owner[part], n), _two_hashes(words, at, width)[0])
+            hits.append((at[there], *_references(b.column("windows"), place[there]), np.repeat(owner[part], n)[there]))
+            start, doc, pos, own = (np.concatenate(x) for x in zip(*hits, strict=True))
+            order = np.argsort(start, kind="stable")
+            start, doc, pos, own = start[order], doc[order], pos[order], own[order]
+            begin, length = parse(start, doc, pos, own, width)
+            cover = np.zeros(len(words) + 1, np.int64)  # +1 where a factor begins, -1 behind its end
+            np.add.at(cover, start[begin], 1)
+            np.add.at(cover, start[begin] + length, -1)
             gone = np.cumsum(cover)[:-1] > 0
             kept, spans, removed = [], [], []
             for i, text in enumerate(texts):
@@ -152,14 +189,17 @@ def _factor(width: int):
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], mine, [False]]).astype(np.int8)))
                 spans.append([{"start": int(s), "end": int(e)} for s, e in zip(edges[0::2], edges[1::2], strict=True)])
                 removed.append(int(mine.sum()))
-                own, at, left = text.split(), 0, []
+                words_of, at, left = text.split(), 0, []
                 for s in spans[-1]:
-                    left += own[at : s["start"]]
+                    left += words_of[at : s["start"]]
                     at = s["end"]
-                kept.append(b" ".join(left + own[at:] if at else own).decode())
+                kept.append(b" ".join(left + words_of[at:] if at else words_of).decode())
+            fields = [start[begin] - offsets[own[begin]], length, doc[begin], pos[begin]]
+            ends = np.searchsorted(own[begin], np.arange(len(texts) + 1)).astype(np.int32)
+            factors = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in fields], ["start", "length", "ref_id", "ref_start"]))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.string())],
-                ["doc_id", "n_words", "n_removed", "spans", "kept_text"],
+                [b.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, _SPANS), factors, pa.array(kept, pa.string())],
+                ["doc_id", "n_words", "n_removed", "spans", "factors", "kept_text"],
             )
 
     return run
@@ -169,36 +209,42 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50) -> DataFrame:
-    """doc_id, n_words, n_removed, spans (removed word ranges), kept_text; one row per input row."""
+    """doc_id, n_words, n_removed, spans (removed word ranges), factors, kept_text; one row per input row."""
     if width < GRAM:
         raise ValueError(f"width must be at least {GRAM}")
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    blocks = written(rows.mapInArrow(_emit_blocks(width), "anchor long, block long, doc_id long"), "blocks")
+    blocks = written(rows.mapInArrow(_emit_blocks(width), "anchor long, block long, doc_id long, pos long"), "blocks", arrow_rows=2000)
+    occurrence, rows_of = F.min(F.struct("doc_id", "pos")).alias("ref"), F.count(F.lit(1)).alias("rows")
     shared = (
         blocks.groupBy("anchor")
-        .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("block") != F.max("block")).alias("varied"))
+        .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("block") != F.max("block")).alias("varied"), rows_of)
         .filter("lo < hi")
-        .select("anchor", "varied")
+        .select("anchor", "varied", "rows")
     )
-    candidates = blocks.join(shared, "anchor")
-    index = candidates.groupBy("anchor", "block").agg(F.min("doc_id").alias("first_id"))
-    known = candidates.join(index, ["anchor", "block"]).filter("first_id < doc_id OR varied")
+    candidates = written(spread_join(blocks, written(shared, "anchors"), ["anchor"]), "candidates")
+    index = written(candidates.groupBy("anchor", "block").agg(occurrence, rows_of), "index")
+    known = spread_join(candidates.select("anchor", "block", "doc_id", "varied"), index, ["anchor", "block"]).filter("ref.doc_id < doc_id OR varied")
     facts = known.groupBy("doc_id").agg(
-        F.collect_set(F.when(F.col("first_id") < F.col("doc_id"), F.col("block"))).alias("matched"),
-        F.collect_set(F.when(F.col("first_id") == F.col("doc_id"), F.col("block"))).alias("variants"),
+        F.collect_set(F.when(F.col("ref.doc_id") < F.col("doc_id"), F.struct("block", "ref.doc_id", "ref.pos"))).alias("matched"),
+        F.collect_set(F.when(F.col("ref.doc_id") == F.col("doc_id"), F.col("block"))).alias("variants"),
     )
     facts = written(facts, "block-facts")
 
     asked = rows.join(facts.filter("size(variants) > 0").select("doc_id", "variants"), "doc_id")
-    windows = written(asked.mapInArrow(_emit_windows(width), "a long, b long, doc_id long"), "windows")
-    earliest = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id")
-    repeated = windows.join(earliest, ["a", "b"]).filter("first_id < doc_id").groupBy("doc_id").agg(F.collect_set("a").alias("windows"))
-
-    empty = F.array().cast("array<bigint>")
-    filled = [F.coalesce(F.col(c), empty).alias(c) for c in ("matched", "variants", "windows")]
+    windows = written(asked.mapInArrow(_emit_windows(width), "a long, b long, doc_id long, pos long"), "windows")
+    earliest = windows.groupBy("a", "b").agg(occurrence, F.max("doc_id").alias("last_id"), rows_of).filter("ref.doc_id < last_id").drop("last_id")
+    repeated = spread_join(windows.drop("pos"), written(earliest, "window-index"), ["a", "b"]).filter("ref.doc_id < doc_id")
+    repeated = repeated.groupBy("doc_id").agg(F.collect_set(F.struct("a", "ref.doc_id", "ref.pos")).alias("windows"))
+
+    empty = lambda c: F.array().cast(f"array<{c}>")
+    reference = "struct<block:bigint,doc_id:bigint,pos:bigint>"
+    filled = [F.coalesce("matched", empty(reference)).alias("matched"), F.coalesce("variants", empty("bigint")).alias("variants"), F.coalesce("windows", empty(reference.replace("block", "a"))).alias("windows")]
     joined = rows.join(facts, "doc_id", "left").join(repeated, "doc_id", "left").select("doc_id", "text", *filled)
-    out = joined.mapInArrow(_factor(width), "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept_text string")
+    out = joined.mapInArrow(
+        _factor(width),
+        "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, factors array<struct<start:long,length:long,ref_id:long,ref_start:long>>, kept_text string",
+    )
     return out.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))

@@ -43,8 +43,25 @@ def test_against_brute_force(spark):
     rows += [(200, rows[7][1]), (201, rows[7][1]), (202, None), (203, ""), (204, " \n "), (205, "the " * 90), (206, "the " * 40), (207, "a the " * 50 + "the " * 30)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = result(remove_repeated_passages(df, width=12))
-    assert got == brute(rows, 12)
+    found = remove_repeated_passages(df, width=12).cache()
+    assert result(found) == brute(rows, 12)
+    words = {i: (t or "").encode().split() for i, t in rows}
+    for r in found.collect():
+        covered, last = set(), -1
+        for f in r.factors:
+            assert f.ref_id < r.doc_id and f.length >= 12 and f.start > last  # in order, each a true copy of its reference
+            assert words[r.doc_id][f.start : f.start + f.length] == words[f.ref_id][f.ref_start : f.ref_start + f.length]
+            last = f.start
+            covered.update(range(f.start, f.start + f.length))
+        assert covered == {x for s in r.spans for x in range(s.start, s.end)}
+
+
+def test_parse_is_greedy(spark):
+    """A factor grows while its reference goes on, however many blocks it spans; a whole copy is one factor."""
+    long = [f"x{i % 977}y{i}" for i in range(5000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long)), (3, " ".join(["a", "b", *long[100:400], "c", *long[1000:1060]]))]
+    found = {r.doc_id: [tuple(f) for f in r.factors] for r in remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: [], 2: [(0, 5000, 1, 0)], 3: [(2, 300, 1, 100), (303, 60, 1, 1000)]}
 
 
 def test_edges(spark):
