@@ -5,12 +5,14 @@ value of the same format, so that equal values stay linked across documents and
 different ones stay different:
 
 * card: 13-19 digits with a valid Luhn sum; all but the last digit are permuted,
-  the last is the new check digit, separators stay;
-* phone: an international or bracketed number of 8-15 digits; the country code stays;
-* ip: four octets of at most 255, permuted as two 16-bit halves;
+  the last is the new check digit; separators are put back, so a card is linked however it is spaced;
+* phone: an international or bracketed number of 8-15 digits; the country code (as far as
+  a separator tells it, else one digit) stays, separators are put back;
+* ip: four octets of at most 255 without leading zeros, permuted as two 16-bit halves;
 * ssn: ddd-dd-dddd with an assignable area, group and serial, permuted among those;
 * date: an existing day as yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy or mm/dd/yyyy,
-  permuted among the 146097 days of its 400-year cycle (from 1 January 1800);
+  permuted among the 146097 days of its 400-year cycle (from 1 January 1800); the first and
+  the last cycle are cut to the years 0001 to 0199 and 9800 to 9999;
 * email: letters and digits before the @ are permuted within their class.
 
 The network works on a pair (L, R) of Z_a x Z_b for any a and b:
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 KINDS = ("card", "phone", "ip", "ssn", "date", "email")
 ROUNDS = 8
 CYCLE_DAYS = 146097  # 400 Gregorian years = 189 * 773 days
+#: Whole cycles and the two cut ones: days from 1800-01-01 before which each ends, first day, and days as a product.
+CYCLES = {"-584388": ("-657071", 13, 5591), "2921940": (f"n - pmod(n, {CYCLE_DAYS})", 189, 773), "9999999": ("2921940", 184, 397)}
 
 _NOT_IN = r"(?<![A-Za-z0-9_.+/@-])"
 _END = r"(?![A-Za-z0-9_@]|[./-][0-9])"
@@ -105,27 +109,35 @@ def _luhn(digits: str, doubled_from: int) -> str:
     )
 
 
-def _card(key: str) -> str:
-    digits = "regexp_replace(m, '[ -]', '')"
-    body = permuted("substr(m, 1, length(m) - 1)", key, "card")
-    sum_ = _luhn("regexp_replace(b, '[ -]', '')", 0)
+def _filled(shape: str, digits: str) -> str:
+    """SQL: ``shape`` with its digits replaced by ``digits``, one after another."""
     return (
-        f"IF({_luhn(digits, 1)} % 10 = 0, element_at(transform(array({body}), b -> concat(b, CAST(pmod(10 - {sum_} % 10, 10) AS STRING))), 1), NULL)"
+        f"element_at(transform(array({digits}), d -> aggregate(filter(split({shape}, ''), x -> x <> ''), named_struct('s', '', 'k', 1), "
+        "(a, c) -> IF(c RLIKE '[0-9]', named_struct('s', concat(a.s, substr(d, a.k, 1)), 'k', a.k + 1), named_struct('s', concat(a.s, c), 'k', a.k)), a -> a.s)), 1)"
     )
 
 
+def _card(key: str) -> str:
+    digits = "regexp_replace(m, '[ -]', '')"
+    body = permuted(f"substr({digits}, 1, length({digits}) - 1)", key, "card")
+    whole = f"element_at(transform(array({body}), b -> concat(b, CAST(pmod(10 - {_luhn('b', 0)} % 10, 10) AS STRING))), 1)"
+    return f"IF({_luhn(digits, 1)} % 10 = 0, {_filled('m', whole)}, NULL)"
+
+
 def _phone(key: str) -> str:
     n = "length(regexp_replace(m, '[^0-9]', ''))"
     code = r"regexp_extract(m, '^(\\+[0-9]{1,3}[ .-])', 1)"
     code = f"IF({code} = '' AND substr(m, 1, 1) = '+', substr(m, 1, 2), {code})"
-    return f"IF({n} BETWEEN 8 AND 15, concat({code}, {permuted(f'substr(m, 1 + length({code}))', key, 'phone')}), NULL)"
+    rest = f"substr(m, 1 + length({code}))"
+    digits = permuted(f"regexp_replace({rest}, '[^0-9]', '')", key, "phone")
+    return f"IF({n} BETWEEN 8 AND 15, concat({code}, {_filled(rest, digits)}), NULL)"
 
 
 def _ip(key: str) -> str:
     o = lambda i: f"CAST(split(m, '[.]')[{i}] AS INT)"
     pair = feistel(f"{o(0)} * 256 + {o(1)}", f"{o(2)} * 256 + {o(3)}", "65536L", "65536L", key, "ip")
     return (
-        "IF(forall(split(m, '[.]'), x -> CAST(x AS INT) <= 255), "
+        "IF(forall(split(m, '[.]'), x -> CAST(x AS INT) <= 255 AND x = CAST(CAST(x AS INT) AS STRING)), "
         f"element_at(transform(array({pair}), p -> concat_ws('.', p.l DIV 256, p.l % 256, p.r DIV 256, p.r % 256)), 1), NULL)"
     )
 
@@ -144,10 +156,10 @@ def _ssn(key: str) -> str:
 def _date(key: str, shape: str) -> str:
     origin = "DATE'1800-01-01'"
     day = f"CAST(try_to_timestamp(m, '{shape}') AS DATE)"
-    pair = feistel(f"pmod(n, {CYCLE_DAYS}) DIV 773", f"pmod(n, {CYCLE_DAYS}) % 773", "189L", "773L", key, "date")
-    moved = f"date_add({origin}, CAST(n - pmod(n, {CYCLE_DAYS}) + p.l * 773 + p.r AS INT))"
-    shown = f"date_format({moved}, '{shape}')"
-    return f"IF({day} IS NULL, NULL, element_at(transform(array(datediff({day}, {origin})), n -> element_at(transform(array({pair}), p -> {shown}), 1)), 1))"
+    day_in = lambda first, a, b: f"element_at(transform(array({feistel(f'(n - ({first})) DIV {b}', f'(n - ({first})) % {b}', f'{a}L', f'{b}L', key, 'date')}), p -> {first} + p.l * {b} + p.r), 1)"
+    moved = " ".join(f"WHEN n < {end} THEN {day_in(*cycle)}" for end, cycle in CYCLES.items())
+    shown = f"date_format(date_add({origin}, CAST(CASE {moved} END AS INT)), '{shape}')"
+    return f"IF({day} IS NULL OR year({day}) < 1, NULL, element_at(transform(array(datediff({day}, {origin})), n -> {shown}), 1))"
 
 
 def _email(key: str) -> str:
