@@ -19,8 +19,9 @@ Scale: the pass over the codes is queries x rows at four bits per group, by
 design; blocks bound every task's memory, and ``rerank`` rows per query leave it.  Nothing is broadcast but the codebooks.
 
 Defined results: vectors that are null, zero, of another length than most, or hold
-null or non-finite components take no part; ids that are null take no part; rows
-that repeat an id are one row each; an empty table gives no rows; ties go to the
+null or non-finite components take no part; ids that are null take no part; of a query
+id that repeats, the vector first in order asks; a repeated id is found once, with its
+best score; vectors keep double precision; an empty table gives no rows; ties go to the
 smaller id; other columns are not read.
 """
 
@@ -148,14 +149,14 @@ class _Best:
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, self.found.shape[1])), pa.array(self.found.ravel())], ["query_id", "id"])
 
 
-def _floats(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1)
+def _vectors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of the vectors that take part."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
-    finite = "forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < CAST('Infinity' AS FLOAT)) AND exists(v, x -> x <> 0)"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    finite = "forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < CAST('Infinity' AS DOUBLE)) AND exists(v, x -> x <> 0)"
     rows = rows.filter("id IS NOT NULL AND v IS NOT NULL").filter(finite)
     lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     return rows.filter(F.size("v") == (lengths[0].n if lengths else 0))
@@ -168,6 +169,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, r
     """
     rows = usable(vectors, id_col, vector_col)
     asked = usable(queries, id_col, vector_col) if queries is not None else rows
+    asked = asked.groupBy("id").agg(F.min("v").alias("v"))
     # Equal vectors: the ids a result can show are the smallest k + 1 (one may be the query itself).
     few = rows.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("place") <= k + 1)
     index = written(few.groupBy("v").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
@@ -175,14 +177,14 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, r
     sample = index.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("v").toArrow().column("v").combine_chunks()
     if not total:
         return _ranked(index.select(F.col("id").alias("query_id"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")), k)
-    q = train(_floats(sample), group)
+    q = train(_vectors(sample), group)
     n_queries = asked.count()
     code_blocks, query_blocks = math.ceil(total / CODE_BLOCK), max(1, math.ceil(n_queries / QUERY_BLOCK))
 
     def encode(batches):
         for b in batches:
             if b.num_rows:
-                codes = q.encode(_floats(b.column("v")))
+                codes = q.encode(_vectors(b.column("v")))
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "code"])
 
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
@@ -206,7 +208,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, r
                 if ask.is_valid:
                     if asking is not None:
                         yield asking.rows()
-                    asking = _Best(q, ask.values.field(0).to_numpy(), _floats(ask.values.field(1)), rerank)
+                    asking = _Best(q, ask.values.field(0).to_numpy(), _vectors(ask.values.field(1)), rerank)
                 elif asking is not None:
                     ids = held.values.field(0).to_numpy()
                     code = np.frombuffer(b"".join(held.values.field(1).to_pylist()), np.uint8).reshape(len(ids), -1)
@@ -219,10 +221,12 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, r
     exact = F.expr("aggregate(zip_with(qv, v, (a, b) -> CAST(a AS DOUBLE) * CAST(b AS DOUBLE)), CAST(0 AS DOUBLE), (s, x) -> s + x)")
     scored = (
         best.join(index, "id")
-        .join(asked.dropDuplicates(["id"]).select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")
+        .join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")
         .select("query_id", "ids", exact.alias("score"))
         .select("query_id", F.explode("ids").alias("vec_id"), "score")
         .filter("vec_id <> query_id")
+        .groupBy("query_id", "vec_id")
+        .agg(F.max("score").alias("score"))
     )
     return _ranked(scored, k)
 

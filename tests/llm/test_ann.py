@@ -55,3 +55,10 @@ def test_edges(spark):
     got = [tuple(r) for r in nearest(df, df.filter("vec_id IN (1, 4, 5, 20)")).orderBy("query_id", "rank").collect()]
     assert got == [(1, 1, 20, 3.0), (1, 2, 2, 2.0), (1, 3, 3, 2.0), (20, 1, 2, 5.0), (20, 2, 3, 5.0), (20, 3, 1, 3.0)]
     assert nearest(df.limit(0)).count() == 0
+
+
+def test_repeated_ids_and_double_precision(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [1e39, 1.0]), (2, [3.0, 1.0]), (3, [1.0 + 2**-40, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in nearest(df, df.filter("vec_id = 1")).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, 2, 5e38), (1, 2, 3, 0.5 + 2**-41)]
