@@ -47,7 +47,6 @@ from docquarry.llm.words import as_bytes, hash_words, window_hashes
 STEMS = (4, 5, 6, 7)
 WINDOW = 6
 CACHE = 400_000
-MOST_TERMS = 4000
 FUZZY_SHARE = 0.01  # of the toxic rows must hold a term for its misspellings to count
 MOST_NEIGHBOURS = 5  # a term with more ordinary words one edit away is matched exactly only
 REPORTING = frozenset(
@@ -220,7 +219,7 @@ def choose_terms(counts: list[tuple[str, int, int]], clean: int, toxic: int) ->
     stems = [t for t in strong if t[0] == "^" and held[t] >= 1.3 * most_word.get(t, 0) and held[t] >= 1.05 * most_stem.get(t, 0) and held[t] >= 8]
     roots = {t[1:] for t in stems}
     chosen = [(t, False) for t in words if not any(t[:n] in roots for n in STEMS)] + [(t, True) for t in sorted(roots) if not any(t[:n] in roots for n in STEMS if n < len(t))]
-    ranked = sorted(chosen, key=lambda x: (-held["^" + x[0] if x[1] else x[0]], x))[:MOST_TERMS]
+    ranked = sorted(chosen, key=lambda x: (-held["^" + x[0] if x[1] else x[0]], x))
     return [(t, s, min(weight["^" + t if s else t], 8.0)) for t, s in ranked]
 
 
@@ -338,7 +337,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, held_out_fol
             x = np.array([lexicon.findings(t) for t in b.column("text").to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), b.column("y")], [*FEATURES, "y"])
 
-    table = np.array([tuple(r) for r in rows.filter(half == 1).mapInArrow(features, ", ".join(f"{f} double" for f in FEATURES) + ", y int").orderBy(*FEATURES, "y").collect()], float)
+    table = np.array([tuple(r) for r in rows.filter(half == 1).mapInArrow(features, ", ".join(f"{f} double" for f in FEATURES) + ", y int").collect()], float)
+    table = table[np.lexsort(table.T)] if len(table) else table  # rows arrive in any order
     if len(table) == 0 or table[:, -1].min() == table[:, -1].max():
         return Model(terms, np.append(PRIOR, -3.0), harmless, rigid)
     return Model(terms, fit_weights(table[:, :-1], table[:, -1]), harmless, rigid)
