@@ -45,18 +45,20 @@ def format_date(at: Column) -> Column:
 
 
 def find_documentation(files: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """Documents (path, content, bytes, modified, category) with their URL; with ``targets(target)`` those of the same site.
+    """Documents (path, content, bytes, modified) with their URL and category (apis where the path has such a folder, else tools);
+    with ``targets(target)`` those of the same site.
 
     The site is an equi-join key, so no target is compared with every file.
     """
     found = files.filter(F.endswith("path", F.lit(".md")) & ~F.col("path").rlike(r"(^|/)(\.[^/]+|node_modules)/"))
     found = found.withColumn("url", F.coalesce(url_of_document(F.col("content"), F.col("path")), F.lit(""))).drop("content")
+    found = found.withColumn("category", F.when(F.contains("path", F.lit("/apis/")), "apis").otherwise("tools"))
     return _of_targets(found, targets)
 
 
 def find_cheatsheets(files: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """Cheat sheets with URL, section titles and function count; with ``targets(target)`` those of the same site."""
-    found = files.filter(F.col("path").rlike(r"Cheatsheet[^/]*\.md\z|[^/]*Cheatsheet[^/]*\.md\z") & ~F.col("path").rlike(r"(^|/)\.[^/]+/"))
+    """Cheat sheets in folders of tools or apis, with URL, section titles and function count; with ``targets(target)`` those of the same site."""
+    found = files.filter(F.col("path").rlike(r"(^|/)(tools|apis)/")).filter(F.col("path").rlike(r"Cheatsheet[^/]*\.md\z|[^/]*Cheatsheet[^/]*\.md\z") & ~F.col("path").rlike(r"(^|/)\.[^/]+/"))
     c = F.col("content")
     found = found.select("*", F.coalesce(url_of_cheatsheet(c), F.lit("")).alias("url"), section_titles(c).alias("sections"), count_functions(c).alias("function_count")).drop("content")
     return _of_targets(found, targets)

@@ -11,24 +11,19 @@ from docquarry.functions.htmltree import page
 _FIELDS = "title string, markdown string, links array<string>, error string"
 
 
-def parse_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(url, title, markdown, links, error); one row per input row, null html is an empty page."""
+def parse_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
+    """(url, title, markdown, links, error) and the columns ``keep``; one row per input row, null html is an empty page."""
+    keep = keep or []
 
     def run(batches):
         for b in batches:
             found = [page(h, u) for u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             columns = [b.column(0), *(pa.array([x[k] for x in found], pa.string()) for k in ("title", "markdown")), pa.array([x["links"] for x in found], pa.list_(pa.string())), pa.array([x["error"] for x in found], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["url", "title", "markdown", "links", "error"])
+            yield pa.RecordBatch.from_arrays(columns + [b.column(c) for c in keep], ["url", "title", "markdown", "links", "error", *keep])
 
-    rows = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(run, "url string, " + _FIELDS)
-
-
-def first_heading(html: Column) -> Column:
-    """Title by expression alone, for pages whose first h1 holds plain text: its text, else the title element, else Untitled."""
-    h1 = F.trim(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1))
-    named = F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
-    return F.when(h1 != "", h1).when(named != "", named).otherwise("Untitled")
+    rows = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), *keep)
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    return rows.mapInArrow(run, "url string, " + _FIELDS + kept)
 
 
 def raw_links(html: Column) -> Column:

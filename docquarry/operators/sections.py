@@ -78,12 +78,15 @@ def prioritize_sections(sections: DataFrame, max_length: int = 10_000, group: li
     """Each group's best sections within the length budget; the first that does not fit is cut if over 100 characters are left.
 
     Costs are positive, so the running total decides, and the greedy loop is one
-    window per group.  ``order`` breaks ties of priority.
+    window per group.  A section costs ``PADDING`` at least, so only so many of a group's
+    best can fit; the others are dropped before the shuffle.  ``order`` breaks ties of priority.
     """
     group, order = group or ["doc_id"], order or ["doc_id", "section_pos"]
-    w = Window.partitionBy(*group).orderBy(F.desc("priority"), *order).rowsBetween(Window.unboundedPreceding, 0)
+    best = Window.partitionBy(*group).orderBy(F.desc("priority"), *order)
+    sections = sections.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= max(0, max_length - HEADER_LENGTH) // PADDING + 1)
+    w = Window.partitionBy(*group).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     cost = F.length("title") + F.length("content") + PADDING
-    ranked = sections.withColumn("_cost", cost).withColumn("_total", F.sum("_cost").over(w) + HEADER_LENGTH).withColumn("rank", F.count(F.lit(1)).over(w))
+    ranked = sections.withColumn("_cost", cost).withColumn("_total", F.sum("_cost").over(w) + HEADER_LENGTH)
     room = F.lit(max_length) - (F.col("_total") - F.col("_cost")) - MARGIN
     fits = F.col("_total") <= max_length
     first_out = ~fits & (F.col("_total") - F.col("_cost") <= max_length) & (room > 100)

@@ -51,7 +51,7 @@ def combined_verdict(spark, d):
 def site_matches(spark, d):
     u = _urls(spark, d).withColumn("site", urls.site_key(F.col("url")))
     targets = u.filter("page_id % 20 = 0").select(F.col("page_id").alias("target_id"), "site")
-    return u.join(targets, "site").groupBy("target_id").agg(F.count(F.lit(1)).alias("n"))
+    return targets.join(u.groupBy("site").agg(F.count(F.lit(1)).alias("n")), "site").select("target_id", "n")
 
 
 def absolute_links(spark, d):
@@ -59,12 +59,12 @@ def absolute_links(spark, d):
 
 
 def distinct_links(spark, d):
-    found = absolute_links(spark, d)
-    return found.groupBy("page_id", "link").agg(F.min("pos").alias("pos"))
+    parsed = html.parse_pages(_pages(spark, d), "url", "html", keep=["page_id"])
+    return parsed.select("page_id", F.posexplode("links").alias("pos", "link"))
 
 
 def page_titles(spark, d):
-    return _pages(spark, d).select("page_id", html.first_heading(F.col("html")).alias("title"))
+    return html.parse_pages(_pages(spark, d), "url", "html", keep=["page_id"]).select("page_id", "title")
 
 
 def parsed_pages(spark, d):
@@ -292,10 +292,14 @@ WITH a AS (SELECT page_id, url, unnest(list_filter(regexp_extract_all(html, '(?i
   generate_subscripts(list_filter(regexp_extract_all(html, '(?i)<a\s[^>]*?href=["'']([^"'']*)["'']', 1), lambda x: x <> '' AND x[1] <> '#' AND NOT starts_with(x, 'javascript:')), 1) - 1 AS pos FROM pages),
 b AS (SELECT page_id, CAST(pos AS INT) AS pos, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || href ELSE href END AS link FROM a)
 """
-_TERMS = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+# Fixed values, written out here apart from the package's own lists, so that a wrong term shows.
+_API_TERMS = """['endpoint', 'request', 'response', 'authentication', 'authorization', 'rate limit', 'api key', 'access token', 'http method', 'status code',
+  'query parameter', 'request body', 'response body', 'bearer token', 'webhook', 'rest api', 'graphql', 'mutation', 'subscription']"""
+_TOOL_TERMS = """['installation', 'configuration', 'workflow', 'getting started', 'tutorial', 'quick start', 'how to', 'step by step', 'user guide', 'features',
+  'requirements', 'dependencies', 'cli', 'command line', 'desktop app', 'plugin', 'extension', 'interface', 'settings']"""
 _CONTENT = rf"""
 {_MD},
-t AS (SELECT doc_id, source, md, list_filter({_TERMS(classify.API_TERMS)}, lambda x: contains(lower(md), x)) AS a0, list_filter({_TERMS(classify.TOOL_TERMS)}, lambda x: contains(lower(md), x)) AS t0 FROM md),
+t AS (SELECT doc_id, source, md, list_filter({_API_TERMS}, lambda x: contains(lower(md), x)) AS a0, list_filter({_TOOL_TERMS}, lambda x: contains(lower(md), x)) AS t0 FROM md),
 w AS (SELECT doc_id, source, md,
   list_concat(list_transform(a0, lambda x: x || ' (' || len(regexp_extract_all(lower(md), x)) || 'x)'), CASE WHEN regexp_matches(md, '(?i)curl\s+-X\s+(GET|POST|PUT|DELETE|PATCH)') THEN ['REST API examples'] ELSE [] END) AS a,
   list_concat(list_transform(t0, lambda x: x || ' (' || len(regexp_extract_all(lower(md), x)) || 'x)'), CASE WHEN regexp_matches(md, '(?i)\$\s+(npm\s+install|yarn\s+add|pip\s+install|brew\s+install)') THEN ['CLI installation examples'] ELSE [] END) AS t FROM t),
@@ -336,9 +340,9 @@ SELECT CASE category WHEN 'unknown' THEN 'tools' ELSE category END AS category,
 z AS (SELECT doc_id, category AS cc, confidence AS cf, doc_id % 7 <> 0 AS has, CASE WHEN doc_id % 2 = 0 THEN 'apis' ELSE 'tools' END AS uc, CASE WHEN doc_id % 2 = 0 THEN 0.85 ELSE 0.95 END::DOUBLE AS uf FROM cv)
 SELECT doc_id, CASE WHEN NOT has OR uc = cc THEN uc WHEN cf > uf AND cc <> 'unknown' THEN cc ELSE uc END AS category,
   round(CASE WHEN NOT has THEN uf WHEN uc = cc THEN greatest(uf, cf) WHEN cf > uf AND cc <> 'unknown' THEN cf * 0.75 ELSE least(uf * 0.75, 0.79) END, 6) AS confidence FROM z""",
-    "h1_titles": r"""SELECT page_id, CASE WHEN trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)) <> '' THEN trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1))
-WHEN trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) <> '' THEN trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) ELSE 'Untitled' END AS title FROM pages""",
-    "h3_links": _HREF + "SELECT page_id, link, min(pos) AS pos FROM b GROUP BY page_id, link",
+    "h1_titles": r"""SELECT page_id, replace(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS title FROM (SELECT page_id, CASE WHEN trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)) <> '' THEN trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1))
+WHEN trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) <> '' THEN trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) ELSE 'Untitled' END AS title FROM pages)""",
+    "h3_links": _HREF + "SELECT page_id, link, CAST(row_number() OVER (PARTITION BY page_id ORDER BY min(pos)) - 1 AS INT) AS pos FROM b GROUP BY page_id, link",
     "t2_crawl": f"""WITH RECURSIVE e AS ({LINKS}),
 w(url, depth) AS (SELECT * FROM (VALUES ('0', 0), ('7', 0)) UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.url WHERE w.depth < 5)
 SELECT url, min(depth) AS depth FROM w GROUP BY url""",

@@ -58,12 +58,13 @@ def frontmatter(title: Column, url: Column, date: Column, category: Column, tool
 
 
 def export_markdown(docs: DataFrame, base: str) -> None:
-    """One file per row at base/category/name/path, written by the executors through Hadoop's file systems or a mounted path."""
+    """One file per row at base/category/name/path, written by the executors; on a cluster ``base`` must be mounted on all of them."""
     import os
 
     def write(rows: Iterator) -> None:
         for r in rows:
-            to = os.path.join(base, r.category, r.name, os.path.basename(r.path))
+            parts = [x for x in r.path.split("/") if x not in ("", ".", "..")]  # inside its folder, nested as stored
+            to = os.path.join(base, r.category, r.name, *parts)
             os.makedirs(os.path.dirname(to), exist_ok=True)
             with open(to, "w", encoding="utf-8") as f:
                 f.write(r.content)

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,24 +97,73 @@ def test_crawl(spark):
     bfs = crawl.crawl_levels(spark.createDataFrame([("r",)], "url string"), links, 2)
     assert {(r.url, r.depth) for r in bfs.collect()} == {("r", 0), ("a", 1), ("b", 1), ("c", 2)}
     dfs = crawl.crawl_depth_first(spark.createDataFrame([("s", "r")], "site string, url string"), links, 2)
-    assert {r.url for r in dfs.collect()} <= {"r", "a", "b", "c"}
+    # b is met below a, at the depth limit, so its own links are never followed.
+    assert [(r.url, r.depth) for r in dfs.orderBy("visit").collect()] == [("r", 0), ("a", 1), ("b", 2)]
+    g = random.Random(3)
+    edges = [("s", str(a), str(b), k) for a in range(30) for k, b in enumerate(g.sample(range(30), 3))]
+
+    def model(limit):
+        out, visited, found = [], set(), set()
+
+        def visit(url, depth):
+            if url in visited or depth > limit:
+                return
+            visited.add(url)
+            out.append((url, depth))
+            for _, src, dst, _ in edges if depth < limit else []:
+                if src == url and dst not in found:
+                    found.add(dst)
+                    visit(dst, depth + 1)
+
+        visit("0", 0)
+        return out
+
+    table = spark.createDataFrame(edges, "site string, src string, dst string, pos int")
+    for limit in (0, 1, 3, 9):
+        walked = crawl.crawl_depth_first(spark.createDataFrame([("s", "0")], "site string, url string"), table, limit)
+        assert [(r.url, r.depth) for r in walked.orderBy("visit").collect()] == model(limit)
     with pytest.raises(ValueError, match="negative"):
         crawl.crawl_levels(spark.createDataFrame([("r",)], "url string"), links, -1)
 
 
 def test_tools(spark, tmp_path):
     body = lambda t, links: f"<main><h1>{t}</h1><p>The endpoint takes a request.</p>{links}</main>"
-    pages = spark.createDataFrame([("https://docs.w.io/", body("Home", '<a href="/guide/a">A</a><a href="https://other.io/">o</a>')), ("https://docs.w.io/guide/a", body("Guide", "")), ("https://docs.w.io/guide/b", body("Unlinked", ""))], "url string, html string")
+    pages = spark.createDataFrame(
+        [("https://docs.w.io/", body("Home", '<a href="/guide/a">A</a><a href="/guide/b">B</a><a href="https://other.io/">o</a>')), ("https://docs.w.io/guide/a", body("Guide", '<a href="/guide/b">B</a>')), ("https://docs.w.io/guide/b", body("B", '<a href="/guide/c">c</a>')), ("https://docs.w.io/guide/c", body("C", "")), ("https://docs.w.io/guide/x", body("Unlinked", ""))],
+        "url string, html string",
+    )
     tools = Documentation(spark, f"{tmp_path}/store", pages)
-    first = tools.call("crawl_documentation", url="https://docs.w.io/", max_depth=2)
-    assert not first.is_error and first.details["saved"] == 2 and first.details["name"] == "w"
-    assert "Already stored" in tools.call("crawl_documentation", url="https://docs.w.io/").text
-    assert "📄 w (2 files" in tools.call("list_documentation", include_stats=True).text
-    assert "Cheat Sheet" in tools.call("generate_cheatsheet", url="https://docs.w.io/").text
+    first = tools.call("crawl_documentation", url="https://docs.w.io/", max_depth=2, rate_limit=5)
+    assert not first.is_error and first.details["saved"] == 4 and first.details["name"] == "w" and first.details["discovered"] == 4
+    assert len(first.details["files"]) == 4 and "Discovered: 4" in first.text and first.details["first_errors"] == []
+    for again in ("https://docs.w.io/", "http://docs.w.io", "https://www.w.io/other"):  # one site, however it is written
+        assert "Already stored" in tools.call("crawl_documentation", url=again).text
+    deep = tools.call("crawl_documentation", url="https://docs.w.io/", max_depth=2, order="depth", force_refresh=True)
+    assert deep.details["saved"] == 3  # B is met below A, so C is too deep
+    assert tools.call("crawl_documentation", url="https://docs.w.io/", rate_limit=0, force_refresh=True).is_error
+    few = tools.call("crawl_documentation", url="https://docs.w.io/", max_depth=1, exclude_patterns=["*/b"], force_refresh=True)
+    assert few.details["saved"] == 2
+    sheet = tools.call("generate_cheatsheet", url="https://docs.w.io/")
+    assert "Cheat Sheet" in sheet.text and sheet.details["path"].endswith("w-Cheatsheet.md") and len(sheet.details["sources"]) == 2
+    stored = store.read_store(spark, tools.sheets).first()
+    assert stored.content == sheet.details["content"] and stored.path == sheet.details["path"]
+    assert "Already stored" in tools.call("generate_cheatsheet", url="https://docs.w.io/").text
+    assert "Cheat Sheet" in tools.call("generate_cheatsheet", url="https://docs.w.io/", force_regenerate=True).text
+    assert "📄 w (" in tools.call("list_documentation", include_stats=True).text
     assert tools.call("nothing").is_error and tools.call("crawl_documentation", url="ftp://x").is_error
-    kept = store.read_store(spark, f"{tmp_path}/store").first()
-    store.delete_documentation(spark, f"{tmp_path}/store", kept.category, kept.name)
-    assert store.read_store(spark, f"{tmp_path}/store").count() == 0
+    for row in store.read_store(spark, tools.base).select("category", "name").distinct().collect():
+        store.delete_documentation(spark, tools.base, row.category, row.name)
+    assert store.read_store(spark, tools.base).count() == 0
+
+
+def test_settings_are_used(spark, tmp_path):
+    settings = config.Config(f"{tmp_path}/base", config.Crawler(default_max_depth=1), config.Cheatsheet(max_length=1000, filename_suffix="-Sheet.md"))
+    page = lambda t, to: f"<main><h1>{t}</h1><p>{'word ' * 100}</p><a href='{to}'>n</a></main>"
+    pages = spark.createDataFrame([("https://docs.v.io/", page("Home", "/a")), ("https://docs.v.io/a", page("A", "/b")), ("https://docs.v.io/b", page("B", "/"))], "url string, html string")
+    tools = Documentation(spark, None, pages, settings)
+    assert tools.base == f"{tmp_path}/base" and tools.call("crawl_documentation", url="https://docs.v.io/").details["saved"] == 2
+    sheet = tools.call("generate_cheatsheet", url="https://docs.v.io/")
+    assert sheet.details["path"].endswith("-Sheet.md") and len(sheet.details["titles"]) == 2
 
 
 def test_files(spark, tmp_path):

@@ -2,6 +2,7 @@ import http.server
 import threading
 
 from docquarry.config import Crawler
+from docquarry.operators.crawl import fetch_site
 from docquarry.operators.html import parse_pages
 from docquarry.sources import store
 from docquarry.sources.web import fetch_pages
@@ -9,7 +10,7 @@ from docquarry.sources.web import fetch_pages
 
 class Site(http.server.BaseHTTPRequestHandler):
     def do_GET(self):
-        pages = {"/robots.txt": "User-agent: *\nDisallow: /private", "/": "<main><h1>Home</h1></main>", "/private/x": "secret"}
+        pages = {"/robots.txt": "User-agent: *\nDisallow: /private", "/": "<main><h1>Home</h1><a href='/next'>n</a><a href='/none'>m</a></main>", "/next": "<main><h1>Next</h1></main>", "/private/x": "secret"}
         body = pages.get(self.path)
         self.send_response(200 if body else 404)
         self.send_header("Content-Type", "text/html; charset=utf-8")
@@ -26,6 +27,8 @@ def test_fetch(spark):
     base = f"http://127.0.0.1:{server.server_port}"
     rows = [(f"{base}/",), (f"{base}/",), (f"{base}/private/x",), (f"{base}/none",), ("ftp://x.io/a",), (None,)]
     got = {r.url: r for r in fetch_pages(spark.createDataFrame(rows, "url string"), Crawler(default_rate_limit=10), 2).collect()}
+    site = fetch_site(spark, f"{base}/", lambda frontier: fetch_pages(frontier, Crawler(default_rate_limit=10), 2), 2)
+    assert {(r.url, r.html is not None) for r in site.collect()} == {(base, True), (f"{base}/next", True), (f"{base}/none", False)}
     server.shutdown()
     assert len(got) == 4 and "Home" in got[f"{base}/"].html and got[f"{base}/"].error is None
     assert got[f"{base}/private/x"].error == "disallowed by robots.txt" and "404" in got[f"{base}/none"].error and got["ftp://x.io/a"].error == "not an HTTP URL"
