@@ -99,7 +99,33 @@ QUERIES = {
     "op10_ann": op10_ann,
 }
 
+_WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL = {
+    "op1_substring_dedup": f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS a FROM documents),
+s AS (SELECT doc_id, a, unnest(range(1, len(a) - 48)) AS i FROM w WHERE len(a) >= 50),
+g AS (SELECT doc_id, i, sha256(array_to_string(a[i:i + 49], ' ')) AS t FROM s),
+f AS (SELECT t, min(doc_id) AS lo FROM g GROUP BY t),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM g JOIN f USING (t) WHERE lo < doc_id),
+u AS (SELECT doc_id, unnest(a) AS x, unnest(range(1, len(a) + 1)) AS p FROM w),
+k AS (SELECT u.doc_id, count(*) FILTER (c.p IS NOT NULL) AS gone, string_agg(CASE WHEN c.p IS NULL THEN x END, ' ' ORDER BY u.p) AS kept
+  FROM u LEFT JOIN c ON u.doc_id = c.doc_id AND u.p = c.p GROUP BY u.doc_id)
+SELECT w.doc_id, len(a) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+""",
+    "op7_near_dedup": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS a FROM documents),
+h AS (
+  SELECT DISTINCT doc_id, array_to_string(a[i:i + 4], ' ') AS t FROM (SELECT doc_id, a, unnest(range(1, greatest(len(a) - 3, 2))) AS i FROM w WHERE len(a) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM h x JOIN h y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, seen) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen),
+m AS (SELECT id, min(seen) AS component_id FROM r GROUP BY id)
+SELECT m.id AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id, m.id = component_id AS kept FROM m LEFT JOIN n ON n.doc_id = m.id
+""",
     "op10_ann": r"""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
