@@ -223,6 +223,10 @@ def _nodes(classes: DataFrame, trees: int) -> tuple[DataFrame, DataFrame | None,
 # ---------------------------------------------------------------- comparing
 
 
+def _item() -> Column:
+    return F.struct("id", "n", "sketch", "label")
+
+
 def _planes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bit planes [rows, PLANES, WORDS] of sketches, and which bins are not empty."""
     x = np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, PLANES, WORDS)
@@ -246,8 +250,8 @@ def _likely(x: tuple[np.ndarray, np.ndarray], nx: np.ndarray, y: tuple[np.ndarra
 
 
 def _members(column: pa.Array):
-    """Offsets, then ids, set sizes and sketches of the members of each row's list."""
-    return column.offsets.to_numpy(), column.values.field(0).to_numpy(), column.values.field(1).to_numpy(), _planes(column.values.field(2))
+    """Offsets, then ids, set sizes, sketches and labels of the members of each row's list."""
+    return column.offsets.to_numpy(), column.values.field(0).to_numpy(), column.values.field(1).to_numpy(), _planes(column.values.field(2)), column.values.field(3).to_numpy()
 
 
 def _cut(x: tuple[np.ndarray, np.ndarray], s: int, e: int) -> tuple[np.ndarray, np.ndarray]:
@@ -255,19 +259,25 @@ def _cut(x: tuple[np.ndarray, np.ndarray], s: int, e: int) -> tuple[np.ndarray,
 
 
 def _connect(similarity: float):
-    """Within each chunk: the pairs of a forest that joins all it can by the strongest estimates; null pairs name nodes with further likely pairs."""
+    """Within each chunk: the pairs of a forest that joins all labels it can by the strongest estimates; null pairs name nodes with further likely pairs."""
+
+    free = 9.0  # above all likely pairs: what one label already joins
 
     def run(batches):
         for b in batches:
             a_out, b_out, node_out = [], [], []
-            offsets, ids, n, planes = _members(b.column("members"))
+            offsets, ids, n, planes, label = _members(b.column("members"))
             nodes = b.column("node").to_pylist()
             for r, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 m = e - s
                 if m < 2:
                     continue
                 est, ok = _likely(_cut(planes, s, e), n[s:e], _cut(planes, s, e), n[s:e], similarity)
-                est = np.where(ok, est + 2.0, 0.0)  # likely pairs are above zero
+                same = label[s:e, None] == label[None, s:e]
+                likely = np.where(ok & ~same, est + 2.0, 0.0)  # likely pairs are above zero
+                if not likely.any():
+                    continue
+                est = np.where(same, free, likely)
                 np.fill_diagonal(est, 0)
                 best, link, todo = est[0].copy(), np.zeros(m, np.int64), np.ones(m, bool)
                 todo[0] = False
@@ -275,13 +285,13 @@ def _connect(similarity: float):
                 for _ in range(m - 1):  # Prim; a new tree begins where nothing reaches
                     k = int(np.argmax(np.where(todo, best, -1.0)))
                     todo[k] = False
-                    if best[k] > 0:
+                    if 0 < best[k] < free:
                         used += 1
                         a_out.append(ids[s + k])
                         b_out.append(ids[s + link[k]])
                     better = est[k] > best
                     best[better], link[better] = est[k][better], k
-                if np.count_nonzero(est) > 2 * used:
+                if np.count_nonzero(likely) > 2 * used:
                     node_out.append(nodes[r])
             pairs = _pairs_batch(a_out, b_out)
             pad = lambda c, k: pa.concat_arrays([c, pa.nulls(k, pa.int64())])
@@ -297,7 +307,7 @@ def _across(similarity: float):
     def run(batches):
         for b in batches:
             a_out, b_out = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            sides = [(*_members(b.column(c)), b.column(c).values.field(3).to_numpy()) for c in ("asked", "held")]
+            sides = [_members(b.column(c)) for c in ("asked", "held")]
             for r in range(b.num_rows):
                 (s, e), (hs, he) = ((side[0][r], side[0][r + 1]) for side in sides)
                 (_, ids, n, planes, label), (_, hids, hn, hplanes, hlabel) = sides
@@ -350,7 +360,9 @@ def _confirm(percent: int):
 
 def _confirmed(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    at = lambda c: packed.select(F.col("id").alias(c), F.col("packed").alias(f"packed_{c}"))
+    asked = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "asked")
+    texts = packed.join(asked, "id")
+    at = lambda c: texts.select(F.col("id").alias(c), F.col("packed").alias(f"packed_{c}"))
     both = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "packed_a", "packed_b")
     return written(both.mapInArrow(_confirm(percent), "a long, b long"), "links", arrow_rows=400)
 
@@ -402,36 +414,62 @@ def _found(docs: DataFrame, key: Column, text_col: str, percent: int, recall: fl
     leaves, families, hubs = _nodes(classes, trees_for(similarity, recall))
     leaves = written(leaves, "leaves")
     held = leaves.select("id") if families is None else leaves.select("id").unionByName(families.select("id"))
-    packed = written(rows.mapInArrow(_compress, "id long, packed binary").join(held.distinct(), "id"), "texts", arrow_rows=2000)
+    held = written(held.distinct(), "held")
+    packed = written(rows.mapInArrow(_compress, "id long, packed binary").join(held, "id"), "texts", arrow_rows=2000)
     if not repeated.isEmpty():
         packed = _speaking_texts(packed, repeated)
 
-    sketch = classes.select("id", "n", "sketch")
-    item = F.struct("id", "n", "sketch")
-    chunks = leaves.join(sketch, "id").groupBy("node").agg(F.sort_array(F.collect_list(item)).alias("members"))
-    if families is not None:
+    told = written(classes.join(held, "id").select("id", "n", "sketch", F.col("id").alias("label")), "sketches")
+    tried, links, labels = None, None, None
+    if families is not None:  # first, so that leaves inside a component need no further comparison
         dealt = F.explode(F.array(*[F.struct(F.lit(c).alias("way"), F.pmod(F.xxhash64("node", "id", F.lit(c)), F.ceil(F.col("size") / LEAF)).alias("chunk")) for c in range(CHUNKINGS)]))
-        alike = families.join(sketch, "id").withColumn("c", dealt).groupBy("node", "c").agg(F.sort_array(F.collect_list(item)).alias("members"))
-        chunks = chunks.unionByName(alike.select(F.lit(None).cast("long").alias("node"), "members"))
-    first = written(chunks.mapInArrow(_connect(similarity), "a long, b long, node long"), "pairs", arrow_rows=200)
-    tried = written(first.filter("a IS NOT NULL").select("a", "b").distinct(), "pairs")
-    links = _confirmed(tried, packed, percent)
-    labels = written(components(links), "labels")
-
-    more = leaves.join(first.filter("node IS NOT NULL").select("node"), "node", "left_semi")
-    likely = _cross_pairs(more, labels, sketch, similarity)
+        alike = families.join(told, "id").withColumn("c", dealt).groupBy("node", "c").agg(F.sort_array(F.collect_list(_item())).alias("members"))
+        tried = _forest(alike.select(F.lit(None).cast("long").alias("node"), "members"), similarity).select("a", "b").distinct()
+        tried = written(tried, "pairs")
+        links = _confirmed(tried, packed, percent)
+        labels = written(components(links), "labels")
+        told = _labelled(told, labels)
+    chunks = leaves.join(told, "id").groupBy("node").agg(F.sort_array(F.collect_list(_item())).alias("members"))
+    forest = _forest(chunks, similarity)
+    fresh = forest.filter("a IS NOT NULL").select("a", "b").distinct()
+    fresh = written(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "pairs")
+    tried, links, labels = _further(fresh, tried, links, labels, packed, percent)
+    told = _labelled(told, labels)
+
+    more = leaves.join(forest.filter("node IS NOT NULL").select("node"), "node", "left_semi")
+    likely = _cross_pairs(more, told, similarity)
     if families is not None:
-        likely = likely.unionByName(_core_pairs(families, hubs, labels, sketch, similarity))
+        likely = likely.unionByName(_core_pairs(families, hubs, told, similarity))
     likely = written(likely.distinct().join(tried, ["a", "b"], "left_anti"), "pairs", arrow_rows=16)
-    further = None if likely.isEmpty() else _confirmed(likely, packed, percent)
-    if further is not None and not further.isEmpty():
-        labels = written(components(links.unionByName(further)), "labels")
+    labels = _further(likely, tried, links, labels, packed, percent)[2]
 
     placed = member.join(labels, "id", "left").select("doc_id", "n", F.coalesce("label", "id").alias("component_id"))
     placed = placed.unionByName(speaking.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return placed if repeated.isEmpty() else sets.select("doc_id", "n").join(placed.drop("n"), "doc_id")
 
 
+def _forest(chunks: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) that join the members of each chunk; (null, null, node) of nodes with further likely pairs."""
+    return written(chunks.mapInArrow(_connect(similarity), "a long, b long, node long"), "forest", arrow_rows=200)
+
+
+def _further(fresh: DataFrame, tried: DataFrame | None, links: DataFrame | None, labels: DataFrame | None, packed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tried pairs, links and labels (id, label) after ``fresh`` pairs were tried too."""
+    if labels is not None and fresh.isEmpty():
+        return tried, links, labels
+    found = _confirmed(fresh, packed, percent)
+    tried = fresh if tried is None else tried.unionByName(fresh)
+    if labels is not None and found.isEmpty():
+        return tried, links, labels
+    links = found if links is None else links.unionByName(found)
+    return tried, links, written(components(links), "labels")
+
+
+def _labelled(told: DataFrame, labels: DataFrame) -> DataFrame:
+    """``told`` with the labels of components; an id without one is its own."""
+    return written(told.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "sketches")
+
+
 def _speaking_texts(packed: DataFrame, repeated: DataFrame) -> DataFrame:
     """The text that speaks for each id: one of the set named in ``repeated``."""
 
@@ -449,17 +487,16 @@ def _speaking_texts(packed: DataFrame, repeated: DataFrame) -> DataFrame:
     return written(packed.join(best.select("id"), "id", "left_anti").unionByName(one), "texts")
 
 
-def _cross_pairs(nodes: DataFrame, labels: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
+def _cross_pairs(nodes: DataFrame, told: DataFrame, similarity: float) -> DataFrame:
     """Likely pairs of leaves whose components differ."""
-    labelled = nodes.join(labels, "id", "left").select("node", "id", F.coalesce("label", "id").alias("label"))
-    mixed = labelled.groupBy("node").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("node")
-    members = labelled.join(mixed, "node").join(sketch, "id").groupBy("node").agg(F.collect_list(F.struct("id", "n", "sketch", "label")).alias("held"))
+    members = nodes.join(told, "id").groupBy("node").agg(F.collect_list(_item()).alias("held"), (F.min("label") != F.max("label")).alias("mixed")).filter("mixed")
     return members.select(F.col("held").alias("asked"), "held").mapInArrow(_across(similarity), "a long, b long")
 
 
-def _core_pairs(families: DataFrame, hubs: DataFrame, labels: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
+def _core_pairs(families: DataFrame, hubs: DataFrame, told: DataFrame, similarity: float) -> DataFrame:
     """Likely pairs of a family's core: strays (outside its main component) against all, in blocks."""
-    labelled = families.join(labels, "id", "left").select("node", "id", "size", F.coalesce("label", "id").alias("label"))
+    sketch = told.drop("label")
+    labelled = written(families.join(told.select("id", "label"), "id").select("node", "id", "size", "label"), "members")
     parts = labelled.groupBy("node", "size", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("node", "size").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).getField("label").alias("main")).filter("labels > 1")
     hub = mixed.join(hubs, "node").join(sketch.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("sketch").alias("hub_sketch")), "hub")
@@ -468,7 +505,7 @@ def _core_pairs(families: DataFrame, hubs: DataFrame, labels: DataFrame, sketch:
     sizes = core.groupBy("node").agg(F.count(F.lit(1)).alias("core"))
     members = core.join(sizes, "node").join(mixed.select("node", "main"), "node")
     blocks = F.ceil(F.col("core") / BLOCK).cast("int")
-    item = F.struct("id", "n", "sketch", "label").alias("item")
+    item = _item().alias("item")
     block = F.pmod(F.xxhash64("node", "id"), blocks).cast("int").alias("block")
     # Strays are dealt too, so that no task gathers all of a node's strays.
     dealt = members.filter("label <> main").select("node", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), block.alias("deal"), item)
