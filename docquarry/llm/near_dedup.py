@@ -409,7 +409,8 @@ def _found(docs: DataFrame, key: Column, text_col: str, percent: int, recall: fl
     equal = written(speaking.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("rows")), "equal")
     member = spread_join(speaking.filter("n > 0"), equal, ["n", "h1", "h2"]).select("doc_id", "n", "id")
     first = equal.select(F.col("id").alias("doc_id"), "n", "h1", "h2")
-    classes = written(sets.join(first, ["doc_id", "n", "h1", "h2"]).select(F.col("doc_id").alias("id"), "n", "tokens", "sketch").dropDuplicates(["id"]), "classes")
+    classes = sets.join(first, ["doc_id", "n", "h1", "h2"]).select(F.col("doc_id").alias("id"), "n", "tokens", "sketch")
+    classes = written(classes if repeated.isEmpty() else classes.dropDuplicates(["id"]), "classes")
 
     leaves, families, hubs = _nodes(classes, trees_for(similarity, recall))
     leaves = written(leaves, "leaves")
