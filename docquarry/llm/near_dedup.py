@@ -24,15 +24,16 @@ each other wherever they are not connected yet.  A pair outside the core shares
 than ``SLACK`` beside the profile, and is met on such a token.
 
 Comparing nodes takes two steps, so that not all pairs of alike texts are confirmed:
-first the strongest pairs that connect a node; then, given the components found, the
-remaining pairs whose components differ.  A pair needs a sketch estimate within four and a half
+first the strongest pairs that connect a node (families before leaves, which then only
+connect what differs in component); then, given the components found, the remaining
+pairs whose components differ.  A pair needs a sketch estimate within four and a half
 deviations of the threshold and is confirmed on the full sets (48-bit shingle hashes) of
 the whole texts.  Only confirmed links form components.
 
 Scale: the paths are long integers dealt by node name; counts per node combine on
 the map side; no task gathers more than a chunk or a block of a node.  Texts travel
-once, compressed, and only those of classes that share a node are kept; they are
-fetched for pairs, never for blocks.  The one quadratic step is a core that hangs
+once, compressed, and only those of classes that share a node are kept; those of the
+pairs to confirm are fetched for pairs, never for blocks.  The one quadratic step is a core that hangs
 between threshold and threshold - SLACK without links, at 256 bytes a member.
 
 Defined results: null or empty texts have an empty set, link with nothing and are
