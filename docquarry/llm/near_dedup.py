@@ -31,9 +31,11 @@ deviations of the threshold and is confirmed on the full sets (48-bit shingle ha
 the whole texts.  Only confirmed links form components.
 
 Scale: the paths are long integers dealt by node name; counts per node combine on
-the map side; no task gathers more than a chunk or a block of a node.  Texts travel
-once, compressed, and only those of classes that share a node are kept; those of the
-pairs to confirm are fetched for pairs, never for blocks.  The one quadratic step is a core that hangs
+the map side; no task gathers more than a chunk or a block of a node.  A leaf is one row with
+its ids.  Tokens, sketches and texts pass a Bloom filter of bounded size before a join, so
+only those that may be asked for are shuffled; only texts of classes that share a node are
+kept, compressed, and those of the pairs to confirm are fetched for pairs, never for blocks.
+Sketches go to leaves that are not yet one component.  The one quadratic step is a core that hangs
 between threshold and threshold - SLACK without links, at 256 bytes a member.
 
 Defined results: null or empty texts have an empty set, link with nothing and are
@@ -55,7 +57,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.components import components
-from docquarry.llm.shared import spread_join, written
+from docquarry.llm.shared import among, lean, sieve, spread_join, written
 from docquarry.llm.substring_dedup import _pieces
 from docquarry.llm.words import U, as_bytes, hash_words, mix, span_hashes, window_hashes
 
@@ -124,10 +126,16 @@ def _describe(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(ident[0].view(np.int64)), pa.array(ident[1].view(np.int64)), lists, sketch], ["doc_id", "n", "h1", "h2", "tokens", "sketch"])
 
 
-def _compress(batches):
-    pack = zstandard.ZstdCompressor(level=1).compress
-    for b in _pieces(batches, most=1 << 21):
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([pack(x) for x in as_bytes(b.column("text"))], pa.binary())], ["id", "packed"])
+def _compress(holds):
+    """Packed texts of the rows whose id a sieve holds."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        some = (b.filter(pa.array(holds(b.column("doc_id").to_numpy()))) for b in batches)
+        for b in _pieces(some, most=1 << 21):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([pack(x) for x in as_bytes(b.column("text"))], pa.binary())], ["id", "packed"])
+
+    return run
 
 
 # ---------------------------------------------------------------- paths
@@ -194,7 +202,7 @@ def _distinct_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def _nodes(classes: DataFrame, trees: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Leaves (node, id, size) of two classes to LEAF; families (node, id, size); hubs (node, hub)."""
+    """Leaves (node, ids) of two classes to LEAF, no two with the same ones; families (node, id, size); hubs (node, hub)."""
     tokens = classes.select("id", "tokens")
     open_ = tokens.select("id", "tokens", F.explode(F.array(*[F.xxhash64(F.lit("tree"), F.lit(t)) for t in range(trees)])).alias("node"), F.lit(False).alias("inner"))
     leaves, families, hubs, light = None, None, None, None
@@ -204,21 +212,29 @@ def _nodes(classes: DataFrame, trees: int) -> tuple[DataFrame, DataFrame | None,
         child = written(both(light, child).distinct(), "paths")
         sizes = child.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         level = written(child.join(sizes, "node"), "nodes")
-        leaves = both(leaves, level.filter(F.col("size") <= LEAF).select("node", "id", "size"))
+        leaves = both(leaves, level.filter(F.col("size") <= LEAF).groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids")))
         large = level.filter(F.col("size") > LEAF)
         if large.isEmpty():
             break
-        held = written(large.join(tokens, "id").select("node", "id", "size", "inner", "tokens"), "open")
+        near = written(among(tokens, sieve(written(large.select("id").distinct(), "asked"))), "near")
+        held = written(large.join(near, "id").select("node", "id", "size", "inner", "tokens"), "open")
         most = _counted(held, _chosen()).groupBy("node", "size").agg(F.max("n").alias("most"))
         dense = written(most.filter(F.col("most") >= DENSE * F.col("size")).select("node"), "dense")
         open_ = held.join(dense, "node", "left_anti").select("id", "tokens", "node", "inner")
         light = None
         if not dense.isEmpty():
             family = written(_families(held, dense), "families")
-            more, hub = _branch_family(family.join(tokens, "id"))
+            more, hub = _branch_family(family.join(near, "id"))
             light = more.withColumn("inner", F.lit(True))
             families, hubs = both(families, family), both(hubs, hub)
-    return _distinct_nodes(leaves), families, hubs
+    return leaves.groupBy("ids").agg(F.min("node").alias("node")).select("node", "ids"), families, hubs
+
+
+def _apart(leaves: DataFrame, told: DataFrame) -> DataFrame:
+    """(node, id) of the leaves whose members are not all of one component."""
+    rows = leaves.select("node", F.explode("ids").alias("id")).join(told.select("id", "label"), "id")
+    nodes = rows.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.collect_list("id").alias("ids")).filter("lo <> hi")
+    return written(nodes.select("node", "ids"), "apart").select("node", F.explode("ids").alias("id"))
 
 
 # ---------------------------------------------------------------- comparing
@@ -362,10 +378,10 @@ def _confirm(percent: int):
 def _confirmed(pairs: DataFrame, packed: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     asked = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "asked")
-    texts = packed.join(asked, "id")
+    texts = among(packed, sieve(asked))
     at = lambda c: texts.select(F.col("id").alias(c), F.col("packed").alias(f"packed_{c}"))
     both = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", "packed_a", "packed_b")
-    return written(both.mapInArrow(_confirm(percent), "a long, b long"), "links", arrow_rows=400)
+    return written(both.mapInArrow(lean(_confirm(percent)), "a long, b long"), "links", arrow_rows=400)
 
 
 # ---------------------------------------------------------------- the operator
@@ -400,7 +416,7 @@ def _found(docs: DataFrame, key: Column, text_col: str, percent: int, recall: fl
     """doc_id, n, component_id by ``key``, for every row."""
     similarity = percent / 100
     rows = docs.select(key.alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sets = written(rows.mapInArrow(_describe, "doc_id long, n long, h1 long, h2 long, tokens array<int>, sketch binary"), "sets", arrow_rows=2000)
+    sets = written(rows.mapInArrow(lean(_describe), "doc_id long, n long, h1 long, h2 long, tokens array<int>, sketch binary"), "sets", arrow_rows=2000)
     identity = F.struct("n", "h1", "h2")
     repeated = written(sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(identity).alias("best")).filter("rows > 1").select("doc_id", "best"), "repeated")
     speaking = sets.drop("tokens", "sketch")
@@ -408,20 +424,26 @@ def _found(docs: DataFrame, key: Column, text_col: str, percent: int, recall: fl
         speaking = speaking.join(repeated, "doc_id", "left").filter(F.col("best").isNull() | (identity == F.col("best"))).drop("best").distinct()
         speaking = written(speaking, "speaking")
     equal = written(speaking.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("rows")), "equal")
-    member = spread_join(speaking.filter("n > 0"), equal, ["n", "h1", "h2"]).select("doc_id", "n", "id")
-    first = equal.select(F.col("id").alias("doc_id"), "n", "h1", "h2")
-    classes = sets.join(first, ["doc_id", "n", "h1", "h2"]).select(F.col("doc_id").alias("id"), "n", "tokens", "sketch")
-    classes = written(classes if repeated.isEmpty() else classes.dropDuplicates(["id"]), "classes")
+    member = written(spread_join(speaking.filter("n > 0"), equal, ["n", "h1", "h2"]).select("doc_id", "n", "id"), "member")
+    named = sets.filter("n > 0").withColumnRenamed("doc_id", "id")
+    if repeated.isEmpty():
+        named, spare = named.drop("h1", "h2"), member.filter("doc_id <> id").select(F.col("doc_id").alias("id"))
+        doubt = sieve(spare)  # all rows beside these are classes
+        classes = among(named, doubt, False).unionByName(among(named, doubt).join(spare, "id", "left_anti"))
+    else:
+        classes = named.join(equal.drop("rows"), ["id", "n", "h1", "h2"]).drop("h1", "h2").dropDuplicates(["id"])
+    classes = written(classes, "classes")
 
     leaves, families, hubs = _nodes(classes, trees_for(similarity, recall))
     leaves = written(leaves, "leaves")
-    held = leaves.select("id") if families is None else leaves.select("id").unionByName(families.select("id"))
-    held = written(held.distinct(), "held")
-    packed = written(rows.mapInArrow(_compress, "id long, packed binary").join(held, "id"), "texts", arrow_rows=2000)
+    held = leaves.select(F.explode("ids").alias("id"))
+    held = held if families is None else held.unionByName(families.select("id"))
+    holds = sieve(written(held.distinct(), "held"))
+    packed = written(rows.mapInArrow(lean(_compress(holds)), "id long, packed binary"), "texts", arrow_rows=2000)
     if not repeated.isEmpty():
         packed = _speaking_texts(packed, repeated)
 
-    told = written(classes.join(held, "id").select("id", "n", "sketch", F.col("id").alias("label")), "sketches")
+    told = written(among(classes.select("id", "n", "sketch"), holds).withColumn("label", F.col("id")), "sketches")
     tried, links, labels = None, None, None
     if families is not None:  # first, so that leaves inside a component need no further comparison
         dealt = F.explode(F.array(*[F.struct(F.lit(c).alias("way"), F.pmod(F.xxhash64("node", "id", F.lit(c)), F.ceil(F.col("size") / LEAF)).alias("chunk")) for c in range(CHUNKINGS)]))
@@ -431,7 +453,8 @@ def _found(docs: DataFrame, key: Column, text_col: str, percent: int, recall: fl
         links = _confirmed(tried, packed, percent)
         labels = written(components(links), "labels")
         told = _labelled(told, labels)
-    chunks = leaves.join(told, "id").groupBy("node").agg(F.sort_array(F.collect_list(_item())).alias("members"))
+    rest = leaves.select("node", F.explode("ids").alias("id")) if labels is None else _apart(leaves, told)
+    chunks = rest.join(told, "id").groupBy("node").agg(F.sort_array(F.collect_list(_item())).alias("members"))
     forest = _forest(chunks, similarity)
     fresh = forest.filter("a IS NOT NULL").select("a", "b").distinct()
     fresh = written(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "pairs")
@@ -439,7 +462,7 @@ def _found(docs: DataFrame, key: Column, text_col: str, percent: int, recall: fl
     told = _labelled(told, labels)
 
     more = leaves.join(forest.filter("node IS NOT NULL").select("node"), "node", "left_semi")
-    likely = _cross_pairs(more, told, similarity)
+    likely = _cross_pairs(_apart(more, told), told, similarity)
     if families is not None:
         likely = likely.unionByName(_core_pairs(families, hubs, told, similarity))
     likely = written(likely.distinct().join(tried, ["a", "b"], "left_anti"), "pairs", arrow_rows=16)
@@ -452,7 +475,7 @@ def _found(docs: DataFrame, key: Column, text_col: str, percent: int, recall: fl
 
 def _forest(chunks: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) that join the members of each chunk; (null, null, node) of nodes with further likely pairs."""
-    return written(chunks.mapInArrow(_connect(similarity), "a long, b long, node long"), "forest", arrow_rows=200)
+    return written(chunks.mapInArrow(lean(_connect(similarity)), "a long, b long, node long"), "forest", arrow_rows=200)
 
 
 def _further(fresh: DataFrame, tried: DataFrame | None, links: DataFrame | None, labels: DataFrame | None, packed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -484,15 +507,15 @@ def _speaking_texts(packed: DataFrame, repeated: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("id"), *parts, b.column("packed")], ["id", "n", "h1", "h2", "packed"])
 
     best = repeated.select(F.col("doc_id").alias("id"), "best.n", "best.h1", "best.h2")
-    several = packed.join(best.select("id"), "id").mapInArrow(told, "id long, n long, h1 long, h2 long, packed binary")
+    several = packed.join(best.select("id"), "id").mapInArrow(lean(told), "id long, n long, h1 long, h2 long, packed binary")
     one = several.join(best, ["id", "n", "h1", "h2"]).groupBy("id").agg(F.min("packed").alias("packed"))
     return written(packed.join(best.select("id"), "id", "left_anti").unionByName(one), "texts")
 
 
 def _cross_pairs(nodes: DataFrame, told: DataFrame, similarity: float) -> DataFrame:
     """Likely pairs of leaves whose components differ."""
-    members = nodes.join(told, "id").groupBy("node").agg(F.collect_list(_item()).alias("held"), (F.min("label") != F.max("label")).alias("mixed")).filter("mixed")
-    return members.select(F.col("held").alias("asked"), "held").mapInArrow(_across(similarity), "a long, b long")
+    members = nodes.join(told, "id").groupBy("node").agg(F.collect_list(_item()).alias("held"))
+    return members.select(F.col("held").alias("asked"), "held").mapInArrow(lean(_across(similarity)), "a long, b long")
 
 
 def _core_pairs(families: DataFrame, hubs: DataFrame, told: DataFrame, similarity: float) -> DataFrame:
@@ -503,7 +526,7 @@ def _core_pairs(families: DataFrame, hubs: DataFrame, told: DataFrame, similarit
     mixed = parts.groupBy("node", "size").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).getField("label").alias("main")).filter("labels > 1")
     hub = mixed.join(hubs, "node").join(sketch.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("sketch").alias("hub_sketch")), "hub")
     rows = _spread(labelled.join(sketch, "id"), hub.select("node", "size", "hub_n", "hub_sketch"))
-    core = written(rows.mapInArrow(_typical(similarity - SLACK), "node long, id long, size long, label long, n long, sketch binary"), "core", arrow_rows=2000)
+    core = written(rows.mapInArrow(lean(_typical(similarity - SLACK)), "node long, id long, size long, label long, n long, sketch binary"), "core", arrow_rows=2000)
     sizes = core.groupBy("node").agg(F.count(F.lit(1)).alias("core"))
     members = core.join(sizes, "node").join(mixed.select("node", "main"), "node")
     blocks = F.ceil(F.col("core") / BLOCK).cast("int")
@@ -513,4 +536,4 @@ def _core_pairs(families: DataFrame, hubs: DataFrame, told: DataFrame, similarit
     dealt = members.filter("label <> main").select("node", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), block.alias("deal"), item)
     asked = dealt.groupBy("node", "block", "deal").agg(F.collect_list("item").alias("asked"))
     held = members.select("node", block, item).groupBy("node", "block").agg(F.collect_list("item").alias("held"))
-    return asked.join(held, ["node", "block"]).select("asked", "held").mapInArrow(_across(similarity), "a long, b long")
+    return asked.join(held, ["node", "block"]).select("asked", "held").mapInArrow(lean(_across(similarity)), "a long, b long")

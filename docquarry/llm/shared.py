@@ -8,10 +8,13 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.llm.words import U, mix
+
 _SETTING = "spark.checkpoint.dir"
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -87,3 +90,48 @@ def lean(run: Callable[[Iterator], Iterator], every: float = 1.0) -> Callable[[I
             give_back()
 
     return whole
+
+
+def _places(ids: np.ndarray, size: int) -> list[np.ndarray]:
+    h = mix(ids.astype(np.int64).view(U))
+    return [x & U(size - 1) for x in (h, h >> U(32))]
+
+
+def sieve(ids: DataFrame, most: int = 26) -> Callable[[np.ndarray], np.ndarray]:
+    """A Bloom filter of ``ids(id)``, of at most 2 ** ``most`` bits: true for every one of them and for few others.
+
+    Rows that it turns away need not be shuffled; the rest needs an exact join.  Beyond a million ids or so
+    for each 2 ** 24 bits it lets more through, and nothing else changes.
+    """
+    ids = ids.filter(F.col("id").isNotNull())
+    size = 1 << min(most, max(16, (16 * ids.count()).bit_length()))
+
+    def run(batches):
+        bits = np.zeros(size // 64, U)
+        for b in batches:
+            for at in _places(b.column("id").to_numpy(), size):
+                np.bitwise_or.at(bits, (at >> U(6)).astype(np.int64), U(1) << (at & U(63)))
+        at = np.flatnonzero(bits)
+        for s in range(0, len(at), 100_000):
+            some = at[s : s + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(bits[some].view(np.int64))], ["word", "bits"])
+
+    found = ids.select("id").mapInArrow(lean(run), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(size // 64, U)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.int64).view(U)
+
+    def holds(ids: np.ndarray) -> np.ndarray:
+        one, two = (bits[(at >> U(6)).astype(np.int64)] >> (at & U(63)) & U(1) for at in _places(ids, size))
+        return (one & two).astype(bool)
+
+    return holds
+
+
+def among(rows: DataFrame, holds: Callable[[np.ndarray], np.ndarray], wanted: bool = True) -> DataFrame:
+    """The rows whose ``id`` a sieve holds, or doesn't."""
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(holds(b.column("id").to_numpy()) == wanted))
+
+    return rows.mapInArrow(lean(run), rows.schema)
