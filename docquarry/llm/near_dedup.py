@@ -18,7 +18,8 @@ A large node in which ``DENSE`` of the classes agree on a chosen token is a *fam
 that child would be the node again, so it is not followed.  Families of one profile
 are taken together.  Their members branch on all tokens but the commonest of each
 number, its *profile* (children hold at most half of the family, so depth is
-logarithmic), are compared within dealt chunks, and those whose similarity to the
+logarithmic; a token that one member has is left out, and in a family found inside
+another one every token whose holders there met in a leaf already), are compared within dealt chunks, and those whose similarity to the
 family's most typical member is above ``similarity - SLACK`` (its *core*) also against
 each other wherever they are not connected yet.  A pair outside the core shares more
 than ``SLACK`` beside the profile, and is met on such a token.
@@ -170,29 +171,54 @@ def _spread(rows: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def _families(held: DataFrame, dense: DataFrame) -> DataFrame:
-    """(node, id, size): the dense nodes' members, nodes of one profile taken together unless they come from a family."""
+    """(node, id, root, size): the dense nodes' members, nodes of one profile taken together unless they come from a family (root)."""
     rows = held.join(dense, "node")
-    if held.filter("NOT inner").isEmpty():
-        return _distinct_nodes(rows.select("node", "id", "size"))
+    if held.filter("root IS NULL").isEmpty():
+        return _distinct_nodes(rows.select("node", "id", "root", "size"))
     fixed = F.array(*[F.struct(F.lit(k).alias("slot"), F.get("tokens", F.lit(k)).alias("token")) for k in range(0, TOKENS, TOKENS // PROFILE)])
-    modes = _counted(rows.filter("NOT inner"), fixed).groupBy("node", "slot").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
+    modes = _counted(rows.filter("root IS NULL"), fixed).groupBy("node", "slot").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
     profile = modes.groupBy("node").agg(F.xxhash64(F.sort_array(F.collect_list(F.struct("slot", "token")))).alias("family"))
-    named = rows.join(profile, "node", "left").select(F.coalesce("family", "node").alias("node"), "id").distinct()
+    named = rows.join(profile, "node", "left").select(F.coalesce("family", "node").alias("node"), "id", "root").distinct()
     named = written(named, "families")
     sizes = named.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
     return _distinct_nodes(named.join(sizes, "node"))
 
 
-def _branch_family(family: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Children (node, id) by the tokens beside a family's profile; the most typical member (node, hub) of each."""
+def _branch_family(family: DataFrame, heavy: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Children (node, id, root) by the tokens beside a family's profile; the most typical member (node, hub) of each; heavy tokens.
+
+    A token that one member has makes no child.  In a family that comes from another (``root``), neither does one that
+    at most LEAF members of that have: all of them meet in a leaf there.  The others, ``heavy(id)``, are named as children.
+    """
     slots = F.transform("tokens", lambda t, i: F.struct(i.alias("slot"), t.alias("token")))
-    modes = _counted(family, slots).groupBy("node", "size", "slot").agg(F.max(F.struct("n", "token")).alias("most"))
-    modes = modes.filter(F.col("most.n") > LEAF).select("node", "size", "slot", "most.token")
-    agreed = modes.groupBy("node", "size").agg(F.map_from_entries(F.collect_list(F.struct("slot", "token"))).alias("agreed"))
+    shared = written(_counted(family, slots).filter("n > 1").withColumn("id", F.xxhash64("node", "slot", "token")), "shared")
+    modes = shared.groupBy("node", "size", "slot").agg(F.max(F.struct("n", "token")).alias("most"))
+    common = F.when(F.col("most.n") > LEAF, F.struct("slot", "most.token"))  # a slot without a common token branches on all
+    agreed = modes.groupBy("node", "size").agg(F.map_from_entries(F.collect_list(common)).alias("agreed"))
     light = F.filter(slots, lambda c: F.coalesce(F.col("agreed")[c["slot"]] != c["token"], F.lit(True)))
-    told = written(_spread(family, agreed).select("node", "id", light.alias("light")), "light")
-    hubs = told.groupBy("node").agg(F.max_by("id", F.struct(-F.size("light"), -F.col("id"))).alias("hub"))
-    return told.select("id", "node", F.explode("light").alias("c")).select(_child().alias("node"), "id"), hubs
+    told = _spread(family, agreed).select("node", "id", "root", light.alias("light"))
+    named = lambda by: F.transform("light", lambda c: F.xxhash64(by, c["slot"], c["token"]))
+    told = written(told.select("node", "id", "root", named("node").alias("child"), named("root").alias("above")), "light")
+    hubs = told.groupBy("node").agg(F.max_by("id", F.struct(-F.size("child"), -F.col("id"))).alias("hub"))
+    children = told.mapInArrow(lean(_children(sieve(shared), heavy and sieve(heavy))), "node long, id long, root long")
+    return children, hubs, shared.filter(F.col("n") > LEAF).select("id")
+
+
+def _children(shared, heavy):
+    """One row of each child that a sieve of shared and, below another family, one of its heavy tokens holds."""
+
+    def run(batches):
+        for b in batches:
+            child = b.column("child")
+            owner = np.repeat(np.arange(b.num_rows), child.value_lengths().to_numpy())
+            node = child.flatten().to_numpy()
+            ok = shared(node)
+            if heavy:
+                ok &= b.column("root").is_null().to_numpy(zero_copy_only=False)[owner] | heavy(b.column("above").flatten().to_numpy())
+            owner = pa.array(owner[ok])
+            yield pa.RecordBatch.from_arrays([pa.array(node[ok]), b.column("id").take(owner), b.column("node").take(owner)], ["node", "id", "root"])
+
+    return run
 
 
 def _distinct_nodes(nodes: DataFrame) -> DataFrame:
@@ -204,11 +230,11 @@ def _distinct_nodes(nodes: DataFrame) -> DataFrame:
 def _nodes(classes: DataFrame, trees: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """Leaves (node, ids) of two classes to LEAF, no two with the same ones; families (node, id, size); hubs (node, hub)."""
     tokens = classes.select("id", "tokens")
-    open_ = tokens.select("id", "tokens", F.explode(F.array(*[F.xxhash64(F.lit("tree"), F.lit(t)) for t in range(trees)])).alias("node"), F.lit(False).alias("inner"))
-    leaves, families, hubs, light = None, None, None, None
+    open_ = tokens.select("id", "tokens", F.explode(F.array(*[F.xxhash64(F.lit("tree"), F.lit(t)) for t in range(trees)])).alias("node"), F.lit(None).cast("long").alias("root"))
+    leaves, families, hubs, light, heavy = None, None, None, None, None
     both = lambda x, y: y if x is None else x.unionByName(y)
     while True:
-        child = open_.select("id", "node", "inner", F.explode(_chosen()).alias("c")).select(_child().alias("node"), "id", "inner")
+        child = open_.select("id", "node", "root", F.explode(_chosen()).alias("c")).select(_child().alias("node"), "id", "root")
         child = written(both(light, child).distinct(), "paths")
         sizes = child.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         level = written(child.join(sizes, "node"), "nodes")
@@ -217,16 +243,15 @@ def _nodes(classes: DataFrame, trees: int) -> tuple[DataFrame, DataFrame | None,
         if large.isEmpty():
             break
         near = written(among(tokens, sieve(written(large.select("id").distinct(), "asked"))), "near")
-        held = written(large.join(near, "id").select("node", "id", "size", "inner", "tokens"), "open")
+        held = written(large.join(near, "id").select("node", "id", "size", "root", "tokens"), "open")
         most = _counted(held, _chosen()).groupBy("node", "size").agg(F.max("n").alias("most"))
         dense = written(most.filter(F.col("most") >= DENSE * F.col("size")).select("node"), "dense")
-        open_ = held.join(dense, "node", "left_anti").select("id", "tokens", "node", "inner")
+        open_ = held.join(dense, "node", "left_anti").select("id", "tokens", "node", "root")
         light = None
         if not dense.isEmpty():
             family = written(_families(held, dense), "families")
-            more, hub = _branch_family(family.join(near, "id"))
-            light = more.withColumn("inner", F.lit(True))
-            families, hubs = both(families, family), both(hubs, hub)
+            light, hub, more = _branch_family(family.join(near, "id"), heavy)
+            families, hubs, heavy = both(families, family.drop("root")), both(hubs, hub), both(heavy, more)
     return leaves.groupBy("ids").agg(F.min("node").alias("node")).select("node", "ids"), families, hubs
 
 
@@ -276,13 +301,16 @@ def _cut(x: tuple[np.ndarray, np.ndarray], s: int, e: int) -> tuple[np.ndarray,
 
 
 def _connect(similarity: float):
-    """Within each chunk: the pairs of a forest that joins all labels it can by the strongest estimates; null pairs name nodes with further likely pairs."""
+    """Within each chunk: the pairs of a forest that joins all labels it can by the strongest estimates (node is null).
+
+    Further likely pairs follow with their node; where they would take more room than sketches, a null pair names the node.
+    """
 
     free = 9.0  # above all likely pairs: what one label already joins
 
     def run(batches):
         for b in batches:
-            a_out, b_out, node_out = [], [], []
+            a_out, b_out, a_more, b_more, node_more, node_out = [], [], [], [], [], []
             offsets, ids, n, planes, label = _members(b.column("members"))
             nodes = b.column("node").to_pylist()
             for r, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
@@ -308,11 +336,16 @@ def _connect(similarity: float):
                         b_out.append(ids[s + link[k]])
                     better = est[k] > best
                     best[better], link[better] = est[k][better], k
-                if np.count_nonzero(likely) > 2 * used:
+                i, j = np.nonzero(np.triu(likely))
+                if len(i) > used and (nodes[r] is None or len(i) > 8 * m):
                     node_out.append(nodes[r])
-            pairs = _pairs_batch(a_out, b_out)
+                elif len(i) > used:
+                    a_more += ids[s + i].tolist()
+                    b_more += ids[s + j].tolist()
+                    node_more += [nodes[r]] * len(i)
+            pairs = _pairs_batch(a_out + a_more, b_out + b_more)
             pad = lambda c, k: pa.concat_arrays([c, pa.nulls(k, pa.int64())])
-            names = pa.concat_arrays([pa.nulls(len(a_out), pa.int64()), pa.array(node_out, pa.int64())])
+            names = pa.concat_arrays([pa.nulls(len(a_out), pa.int64()), pa.array(node_more + node_out, pa.int64())])
             yield pa.RecordBatch.from_arrays([pad(pairs.column(0), len(node_out)), pad(pairs.column(1), len(node_out)), names], ["a", "b", "node"])
 
     return run
@@ -447,7 +480,8 @@ def _found(docs: DataFrame, key: Column, text_col: str, percent: int, recall: fl
     tried, links, labels = None, None, None
     if families is not None:  # first, so that leaves inside a component need no further comparison
         dealt = F.explode(F.array(*[F.struct(F.lit(c).alias("way"), F.pmod(F.xxhash64("node", "id", F.lit(c)), F.ceil(F.col("size") / LEAF)).alias("chunk")) for c in range(CHUNKINGS)]))
-        alike = families.join(told, "id").withColumn("c", dealt).groupBy("node", "c").agg(F.sort_array(F.collect_list(_item())).alias("members"))
+        kin = sieve(written(families.select("id").distinct(), "asked"))
+        alike = families.join(among(told, kin), "id").withColumn("c", dealt).groupBy("node", "c").agg(F.sort_array(F.collect_list(_item())).alias("members"))
         tried = _forest(alike.select(F.lit(None).cast("long").alias("node"), "members"), similarity).select("a", "b").distinct()
         tried = written(tried, "pairs")
         links = _confirmed(tried, packed, percent)
@@ -456,15 +490,18 @@ def _found(docs: DataFrame, key: Column, text_col: str, percent: int, recall: fl
     rest = leaves.select("node", F.explode("ids").alias("id")) if labels is None else _apart(leaves, told)
     chunks = rest.join(told, "id").groupBy("node").agg(F.sort_array(F.collect_list(_item())).alias("members"))
     forest = _forest(chunks, similarity)
-    fresh = forest.filter("a IS NOT NULL").select("a", "b").distinct()
+    fresh = forest.filter("a IS NOT NULL AND node IS NULL").select("a", "b").distinct()
     fresh = written(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "pairs")
     tried, links, labels = _further(fresh, tried, links, labels, packed, percent)
     told = _labelled(told, labels)
 
-    more = leaves.join(forest.filter("node IS NOT NULL").select("node"), "node", "left_semi")
-    likely = _cross_pairs(_apart(more, told), told, similarity)
+    more = _apart(leaves.join(forest.filter("a IS NULL").select("node"), "node", "left_semi"), told)
+    label = lambda c: told.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    likely = forest.filter("a IS NOT NULL AND node IS NOT NULL").select("a", "b").distinct()
+    likely = likely.join(label("a"), "a").join(label("b"), "b").filter("a_label <> b_label").select("a", "b")
+    likely = likely.unionByName(_cross_pairs(more, among(told, sieve(more)), similarity))
     if families is not None:
-        likely = likely.unionByName(_core_pairs(families, hubs, told, similarity))
+        likely = likely.unionByName(_core_pairs(families, hubs, among(told, kin), similarity))
     likely = written(likely.distinct().join(tried, ["a", "b"], "left_anti"), "pairs", arrow_rows=16)
     labels = _further(likely, tried, links, labels, packed, percent)[2]
 

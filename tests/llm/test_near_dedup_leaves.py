@@ -33,3 +33,31 @@ def test_leaves_are_rows_of_ids_and_lone_texts_stay_behind(spark, monkeypatch):
     leaves = held["leaves"].collect()
     assert max(len(r.ids) for r in leaves) == 5 and len({tuple(r.ids) for r in leaves}) == len(leaves)
     assert held["texts"].count() < 40
+
+
+def _classes(spark, tokens):
+    rows = [(i, 100, [int(x) for x in t], bytes(near_dedup.PLANES * near_dedup.BINS // 8)) for i, t in enumerate(tokens)]
+    return spark.createDataFrame(rows, "id long, n long, tokens array<int>, sketch binary")
+
+
+def test_family_inside_a_family_leaves_out_what_met_in_a_leaf(spark, monkeypatch):
+    """300 classes share half of their tokens, 100 of them three more; groups of 20 share ten others, which are leaves once."""
+    paths, real = [], near_dedup.written
+
+    def counted(df, name, arrow_rows=None):
+        out = real(df, name, arrow_rows)
+        if name == "paths":
+            paths.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    g = np.random.default_rng(5)
+    tokens = g.integers(1, 2**30, (300, near_dedup.TOKENS))
+    tokens[:, :45] = 7
+    tokens[:100, 45:48] = 8
+    tokens[:, 50:60] = (np.arange(300) // 20)[:, None]
+    leaves, families, _ = near_dedup._nodes(_classes(spark, tokens), 4)
+    met = {(a, b) for r in leaves.collect() for a in r.ids for b in r.ids}
+    assert all((a, b) in met for a in range(300) for b in range(300) if a // 20 == b // 20)
+    assert families.count() >= 300 + 100
+    assert sum(paths) < 9_000, paths
