@@ -1,4 +1,4 @@
-"""Approximate maximum inner product search with score-aware anisotropic quantisation.
+"""Maximum inner product search with score-aware anisotropic quantisation, and an exact check of what it leaves.
 
 Product quantisation with 16 centroids for each group of ``group`` dimensions, so
 a vector is four bits per group.  The loss is anisotropic: with r = x - q, the
@@ -11,12 +11,16 @@ of ``fit_rows`` vectors; every vector is encoded.
 Search: equal vectors share one code (their ids stay, as many as a result can
 show).  Codes and queries are dealt into blocks; every block of queries meets
 every block of codes once, a query's table of 16 entries per group is cut to
-unsigned bytes and summed over the codes, and the best ``rerank`` so far are kept
-per query.  They are joined with the original vectors and scored exactly in
-double precision.
+unsigned bytes and summed over the codes.  The first ``rerank`` by these sums are
+scored exactly and give the score that a vector must reach.  A later vector is left
+out only where its sum and the norm of what its code misses prove it too low
+(Cauchy-Schwarz); all others are scored on their original components.  So the
+result is exact on any rows, and codes only decide how much work it takes.
 
-Scale: the pass over the codes is queries x rows at four bits per group, by
-design; blocks bound every task's memory, and ``rerank`` rows per query leave it.  Nothing is broadcast but the codebooks.
+Scale: the pass over the codes is queries x rows, by design; where codes prove
+little it is a product of matrices.  A block of codes carries its vectors, in single
+precision where that loses nothing.  Blocks bound every task's memory, and about
+``k`` rows per query leave it.  Nothing is broadcast but the codebooks.
 
 Defined results: vectors that are null, zero, of another length than most, or hold
 null or non-finite components take no part; ids that are null take no part; of a query
@@ -37,7 +41,9 @@ from pyspark.sql import functions as F
 from docquarry.llm.shared import written
 
 CENTROIDS = 16
-CODE_BLOCK, QUERY_BLOCK = 4096, 256
+CODE_BLOCK, QUERY_BLOCK, QUERY_BLOCKS = 4096, 256, 16
+BLOCK_VALUES = 1 << 18  # components of a block of codes, at most
+PAIRS = 1 << 16  # scored at a time
 
 
 class Quantiser:
@@ -131,28 +137,78 @@ def scan(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """The ``keep`` codes with the largest sums for each query of a block, over all codes met so far."""
-
-    def __init__(self, q: Quantiser, ids: np.ndarray, vectors: np.ndarray, keep: int):
-        self.ids, self.keep, self.tables = ids, keep, byte_tables(q, vectors)[0]
-        self.sums, self.found = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0), np.int64)
-
-    def meet(self, ids: np.ndarray, codes: np.ndarray) -> None:
-        for s in range(0, len(codes), CODE_BLOCK):
-            sums = np.concatenate([self.sums, scan(self.tables, codes[s : s + CODE_BLOCK])], 1)
-            found = np.concatenate([self.found, np.broadcast_to(ids[s : s + CODE_BLOCK], (len(self.ids), len(ids[s : s + CODE_BLOCK])))], 1)
-            m = min(self.keep, sums.shape[1])
-            best = np.argpartition(sums, sums.shape[1] - m, axis=1)[:, sums.shape[1] - m :]
-            self.sums, self.found = np.take_along_axis(sums, best, 1), np.take_along_axis(found, best, 1)
+    """The vectors of the ``k`` + 1 best ids for each query of a block, over all codes met so far."""
+
+    def __init__(self, q: Quantiser, ids: np.ndarray, vectors: np.ndarray, k: int, rerank: int):
+        self.q, self.ids, self.vectors, self.k, self.rerank = q, ids, vectors, k, rerank
+        self.tables, self.step = byte_tables(q, vectors)
+        least = np.einsum("ngw,gcw->ngc", q.split(vectors), q.books).min(2).sum(1)
+        self.base = least + self.step * q.groups  # a sum of bytes is off by half a step a group; the other half covers rounding
+        self.norm = np.linalg.norm(vectors, axis=1)
+        self.bar = np.full(len(ids), -np.inf)  # what a score must reach
+        self.row, self.found, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def meet(self, ids: np.ndarray, codes: np.ndarray, x: np.ndarray) -> None:
+        """Codes of vectors ``x``, both in order of ids."""
+        with np.errstate(all="ignore"):  # what overflows proves nothing, so it is scored
+            sums = scan(self.tables, codes)
+            first = np.zeros(sums.shape, bool)
+            m = min(self.rerank, len(ids))
+            new = np.flatnonzero(np.isneginf(self.bar))
+            best = np.argpartition(sums[new], len(ids) - m, axis=1)[:, len(ids) - m :]
+            first[new[:, None], best] = True
+            self._take(first, ids, x)
+            missed = np.linalg.norm(x - np.concatenate([self.q.books[g][codes[:, g]] for g in range(self.q.groups)], 1)[:, : x.shape[1]], axis=1)
+            length = np.linalg.norm(x, axis=1)
+            most = self.step[:, None] * sums + self.base[:, None] + self.norm[:, None] * (missed + 1e-9 * (missed + length))
+            open_ = ~(most < self.bar[:, None]) & ~first
+            some = np.flatnonzero(open_.any(0))
+            if not len(some):
+                return
+            near, size = self.vectors @ x[some].T, self.norm[:, None] * length[some]
+            rounding = 4 * x.shape[1] * np.finfo(np.float64).eps
+            open_[:, some] &= ~(near + rounding * size < self.bar[:, None])
+            self._take(open_, ids, x)
+
+    def _take(self, wanted: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        """Scores the wanted pairs as the result does, component by component, and keeps the best."""
+        row, at = np.nonzero(wanted)
+        for s in range(0, len(row), PAIRS):
+            r, a = row[s : s + PAIRS], at[s : s + PAIRS]
+            total = np.zeros(len(r))
+            for i in range(x.shape[1]):
+                total += self.vectors[r, i] * x[a, i]
+            row_, found, score = np.append(self.row, r), np.append(self.found, ids[a]), np.append(self.score, total)
+            order = np.lexsort((found, -score, ~np.isnan(score), row_))  # a score that is no number is the largest, as in Spark
+            row_, found, score = row_[order], found[order], score[order]
+            fresh = np.zeros(len(row_), bool)
+            again = np.lexsort((found, row_))
+            fresh[again] = np.append(True, (np.diff(row_[again]) != 0) | (np.diff(found[again]) != 0))
+            place = np.cumsum(fresh)
+            place -= (place - fresh)[np.searchsorted(row_, row_)]
+            last = (place == self.k + 1) & fresh
+            self.bar[row_[last]] = np.where(np.isnan(score[last]), -np.inf, score[last])
+            keep = (place <= self.k) | last
+            self.row, self.found, self.score = row_[keep], found[keep], score[keep]
 
     def rows(self) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, self.found.shape[1])), pa.array(self.found.ravel())], ["query_id", "id"])
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.row]), pa.array(self.found)], ["query_id", "id"])
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _unpacked(rows: list[bytes], dims: int) -> np.ndarray:
+    """Vectors of single or double precision, as doubles."""
+    kinds = [("<f4", 4 * dims), ("<f8", 8 * dims)]
+    out, sizes = np.empty((len(rows), dims)), np.fromiter(map(len, rows), np.int64, len(rows))
+    for kind, size in kinds:
+        own = np.flatnonzero(sizes == size)
+        out[own] = np.frombuffer(b"".join(rows[i] for i in own), kind).reshape(-1, dims)
+    return out
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of the vectors that take part."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -163,7 +219,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, rerank: int = 300, fit_rows: int = 10_000, group: int = 2, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` largest inner products found for each query among the other rows.
+    """query_id, rank, vec_id, score: the ``k`` largest inner products of each query among the other rows.
 
     ``queries`` has the same columns; a row never finds its own id.  By default every row is a query.
     """
@@ -171,25 +227,31 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, r
     asked = usable(queries, id_col, vector_col) if queries is not None else rows
     asked = asked.groupBy("id").agg(F.min("v").alias("v"))
     # Equal vectors: the ids a result can show are the smallest k + 1 (one may be the query itself).
-    few = rows.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("place") <= k + 1)
-    index = written(few.groupBy("v").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
+    few = rows.withColumn("place", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("place") <= k + 1)
+    index = written(few.groupBy("v").agg(F.min("id").alias("id"), F.sort_array(F.collect_set("id")).alias("ids")), "vectors")
     total = index.count()
     sample = index.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("v").toArrow().column("v").combine_chunks()
     if not total:
         return _ranked(index.select(F.col("id").alias("query_id"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")), k)
     q = train(_vectors(sample), group)
     n_queries = asked.count()
-    code_blocks, query_blocks = math.ceil(total / CODE_BLOCK), max(1, math.ceil(n_queries / QUERY_BLOCK))
+    code_blocks = math.ceil(total / max(1, min(CODE_BLOCK, BLOCK_VALUES // q.dims)))
+    # Each block of queries needs a copy of the codes: larger blocks where there are enough to share out.
+    query_blocks = max(1, math.ceil(n_queries / (4 * QUERY_BLOCK)), min(QUERY_BLOCKS, math.ceil(n_queries / QUERY_BLOCK)))
 
     def encode(batches):
         for b in batches:
             if b.num_rows:
-                codes = q.encode(_vectors(b.column("v")))
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "code"])
+                x = _vectors(b.column("v"))
+                with np.errstate(all="ignore"):
+                    codes, single = q.encode(x), x.astype("<f4")
+                short = (single == x).all(1)
+                exact = [s.tobytes() if e else v.tobytes() for s, v, e in zip(single, x, short, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(exact, pa.binary())], ["id", "code", "x"])
 
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    codes = index.select("id", "v").mapInArrow(encode, "id long, code binary").withColumn("cb", dealt(code_blocks))
-    code_rows = codes.groupBy("cb").agg(F.collect_list(F.struct("id", "code")).alias("codes"))
+    codes = index.select("id", "v").mapInArrow(encode, "id long, code binary, x binary").withColumn("cb", dealt(code_blocks))
+    code_rows = codes.groupBy("cb").agg(F.collect_list(F.struct("id", "code", "x")).alias("codes"))
     query_rows = asked.withColumn("qb", dealt(query_blocks)).groupBy("qb").agg(F.collect_list(F.struct("id", "v")).alias("queries"))
     # A block of queries, then every block of codes: one pass that keeps each query's best so far.
     met = (
@@ -208,12 +270,12 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, r
                 if ask.is_valid:
                     if asking is not None:
                         yield asking.rows()
-                    asking = _Best(q, ask.values.field(0).to_numpy(), _vectors(ask.values.field(1)), rerank)
+                    asking = _Best(q, ask.values.field(0).to_numpy(), _vectors(ask.values.field(1)), k, rerank)
                 elif asking is not None:
                     ids = held.values.field(0).to_numpy()
                     code = np.frombuffer(b"".join(held.values.field(1).to_pylist()), np.uint8).reshape(len(ids), -1)
                     order = np.argsort(ids)
-                    asking.meet(ids[order], code[order])
+                    asking.meet(ids[order], code[order], _unpacked(held.values.field(2).to_pylist(), q.dims)[order])
         if asking is not None:
             yield asking.rows()
 

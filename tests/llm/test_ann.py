@@ -62,3 +62,27 @@ def test_repeated_ids_and_double_precision(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [tuple(r) for r in nearest(df, df.filter("vec_id = 1")).orderBy("query_id", "rank").collect()]
     assert got == [(1, 1, 2, 5e38), (1, 2, 3, 0.5 + 2**-41)]
+
+
+def test_every_nearest_vector_on_other_rows(spark):
+    rng = np.random.default_rng(5)
+    close = rng.normal(size=(3, 24))[rng.integers(0, 3, 2500)] + 1e-3 * rng.normal(size=(2500, 24))  # finer than a code
+    long = rng.normal(size=(1500, 24)) * rng.lognormal(0, 2, (1500, 1))
+    signs = rng.integers(0, 2, (1500, 24)) * 2.0 - 1  # many equal scores
+    x = np.concatenate([close, long, signs]).astype(np.float32)
+    ids = rng.permutation(len(x)).tolist()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in nearest(df, df.filter("vec_id % 50 = 0"), fit_rows=2000).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for i in (i for i in ids if i % 50 == 0):
+        total = np.zeros(len(x))
+        for a, b in zip(x.astype(np.float64).T, x[ids.index(i)].astype(np.float64), strict=True):
+            total += a * b
+        assert got[i] == [(j, -v) for v, j in sorted((-v, j) for v, j in zip(total.tolist(), ids, strict=True) if j != i)[:20]]
+
+
+def test_repeats_of_one_row_hide_no_other(spark):
+    rows = [(1, [3.0, 1.0])] * 30 + [(1, [3.0 + n, 0.0]) for n in range(30)] + [(n, [3.0, 1.0]) for n in range(2, 6)] + [(9, [1.0, 0.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2), spark.createDataFrame([(9, [1.0, 0.0])], "vec_id long, embedding array<float>"), k=4)
+    assert [(r.vec_id, r.score) for r in got.orderBy("rank").collect()] == [(1, 32.0), (2, 3.0), (3, 3.0), (4, 3.0)]
