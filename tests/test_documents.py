@@ -78,6 +78,17 @@ def test_html():
     assert htmltree.page("<title>only</title><p>a<p>b", "")["title"] == "only"
 
 
+def test_pages_are_read_in_pieces():
+    import pyarrow as pa
+
+    from docquarry.operators.html import _pieces
+
+    html = ["x" * 300, None, "é" * 300, "", "y" * 2000, "z" * 10]
+    b = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(html)], ["n", "html"])
+    got = list(_pieces(iter([b.slice(0, 0), b]), 1, 1000))
+    assert [p.num_rows for p in got] == [4, 1, 1] and [x for p in got for x in p.column(1).to_pylist()] == html
+
+
 def test_functions():
     text = "`<% tp.date.now() %>` - Gives the date of today\nGET /users/{id} is used\n\n```\nfunction go(a) {\n```\nRun `git status` now and again\n$ npm install x"
     got = {(f["name"], f["syntax"]) for f in facts.functions_in(text)}
