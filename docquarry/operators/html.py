@@ -42,16 +42,17 @@ def _give_back() -> None:
         pass
 
 
-def parse_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
+def parse_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None, closed: bool = False) -> DataFrame:
     """(url, title, markdown, links, error) and the columns ``keep``; one row per input row, null html is an empty page.
 
+    ``closed``: only character references with their semicolon are read.
     Beside the Arrow batch that it was given, a worker holds a piece of HTML and what was found there.
     """
     keep = keep or []
 
     def run(batches):
         for b in _pieces(batches, 1):
-            found = [page(h, u) for u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            found = [page(h, u, closed) for u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             columns = [b.column(0), *(pa.array([x[k] for x in found], pa.string()) for k in ("title", "markdown")), pa.array([x["links"] for x in found], pa.list_(pa.string())), pa.array([x["error"] for x in found], pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [b.column(c) for c in keep], ["url", "title", "markdown", "links", "error", *keep])
 

@@ -11,6 +11,7 @@ from docquarry.operators import crawl, discovery, facts
 from docquarry.operators.cheatsheet import generate
 from docquarry.operators.html import parse_pages
 from docquarry.operators.sections import filter_sections, parse_sections, prioritize_sections
+from docquarry.plans import queries
 from docquarry.sources import store
 
 MD = "---\ntitle: x\n---\nlost\n# API Reference\nGET /users\n## Command Line Usage\n```bash\n$ npm install x\n```\n## Example Usage\n## Code Snippets\n\n### Getting Started\nBody text\n"
@@ -78,6 +79,18 @@ def test_html():
     assert htmltree.page("<title>only</title><p>a<p>b", "")["title"] == "only"
 
 
+def test_titles_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    html = ["<h1>A &amp;&amp;&amp</h1>", "<title>x &ampamp; &lt;b&gt; &#39;</title>", "<h1></h1><title>R&D; &amp y &copy</title>", "<h1>&amp;lt; &quot;&ltq</h1>", "", None]
+    spark.createDataFrame([(i, "https://x.io/", h) for i, h in enumerate(html)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(db.execute(queries.ORACLE_SQL["h1_titles"]).fetchall())
+    assert sorted(tuple(r) for r in queries.page_titles(spark, str(tmp_path)).collect()) == want
+    assert htmltree.page("<h1>A &amp;&amp</h1>", "")["title"] == "A &&"
+
+
 def test_pages_are_read_in_pieces():
     import pyarrow as pa
 
